@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm.spark import documents
+from procurelake.llm.spark import crc_rest, documents
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procurelake.llm import toxicity
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(~held).join(labels, "doc_id"))
+    out = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +34,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procurelake.llm import langid
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(False))
+    model = langid.train(docs.where(~held).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
