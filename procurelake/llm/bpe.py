@@ -143,7 +143,7 @@ class Codec:
         split = [self.find(lead + p) for p in pieces]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({t for s in split for t in s} - self.known.keys())
+        new = [t for t in {t for s in split for t in s} if t not in self.known]
         raw = [t.encode() for t in new]
         once = {}
         if raw:
