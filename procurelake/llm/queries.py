@@ -43,6 +43,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procurelake.llm import quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return quality.judged(docs.drop("lang"), quality.references(docs)).drop("text")
+
+
 CONTROL = "\\### Assistant: </turn> ok"
 
 
@@ -64,6 +71,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procurelake.llm import edits
+
+    return edits.with_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 OP9_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
