@@ -50,6 +50,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs.drop("lang"), quality.references(docs)).drop("text")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from procurelake.llm import packing
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 CONTROL = "\\### Assistant: </turn> ok"
 
 

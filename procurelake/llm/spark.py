@@ -35,3 +35,26 @@ def crc_rest(column: str, divisor: int):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a table under the shared checkpoint folder, and read from there."""
+    import uuid
+
+    spark = prepared(df.sparkSession)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, value: str, name: str, by: str = "s", order: str = "rid") -> DataFrame:
+    """df with the sum of `value` over all rows before a row, in the order of (by, order).
+
+    Sums of the groups of `by` are few and are summed in one task; within a group a window sums."""
+    from pyspark.sql import Window as W
+
+    sums = df.groupBy(by).agg(F.sum(value).alias("__sum"))
+    before = sums.select(by, F.coalesce(F.sum("__sum").over(W.orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.coalesce(F.sum(value).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("__own", own).join(before, by).withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before")
