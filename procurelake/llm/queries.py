@@ -56,6 +56,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procurelake.llm import lm
+
+    return lm.score(documents(spark, sf_dir).select("doc_id", "text"), F.coalesce(crc_rest("doc_id", 10) != 0, F.lit(True)))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from procurelake.llm import langid
 
