@@ -65,7 +65,12 @@ def history(df: DataFrame) -> DataFrame:
     """Employment rows of company documents: annual, quarterly and monthly, with what was valid at each period's end."""
     c = F.col("company")
     kinds = {"annual": "aarsbeskaeftigelse", "quarterly": "kvartalsbeskaeftigelse", "monthly": "maanedsbeskaeftigelse"}
-    all_ = F.concat(*[F.coalesce(F.transform(c[f], lambda e, k=k: F.struct(F.lit(k).alias("frequency"), e.alias("e"))), F.array().cast("array<struct<frequency:string,e:" + _EMPLOYMENT[6:-1] + ">>")) for k, f in kinds.items()])
+    none = F.array().cast("array<struct<frequency:string,e:" + _EMPLOYMENT[6:-1] + ">>")
+
+    def tagged(kind: str):
+        return lambda e: F.struct(F.lit(kind).alias("frequency"), e.alias("e"))
+
+    all_ = F.concat(*[F.coalesce(F.transform(c[f], tagged(k)), none) for k, f in kinds.items()])
     rows = df.select(F.lpad(c["cvrNummer"].cast("string"), 8, "0").alias("cvr"), "company", F.explode(all_).alias("x"))
     rows = rows.select("cvr", "company", F.col("x.frequency").alias("frequency"), F.col("x.e.aar").alias("year"), F.col("x.e.kvartal").alias("quarter"), F.col("x.e.maaned").alias("month"), *[F.col(f"x.e.{n}").alias(n) for n in COUNTS + BANDS])
     args = (F.col("frequency"), F.col("year"), F.col("quarter"), F.col("month"))
@@ -125,8 +130,8 @@ def events(df: DataFrame, unit: str, date: str) -> DataFrame:
     w = W.partitionBy(unit).orderBy("event_date")
     out = own.withColumns({"event_number": F.row_number().over(w), "n_events": F.count(F.lit(1)).over(W.partitionBy(unit)), "y": y, "q": q, "m": m})
     for name, c, gap in (("isolated_quarter", "q", 4), ("isolated_year", "y", 1), ("isolated_month", "m", 12)):
-        far = lambda d, gap=gap: d.isNull() | (d > gap)
-        out = out.withColumn(name, far(F.col(c) - F.lag(c).over(w)) & far(F.lead(c).over(w) - F.col(c)))
+        before, after = F.col(c) - F.lag(c).over(w), F.lead(c).over(w) - F.col(c)
+        out = out.withColumn(name, F.coalesce(before > gap, F.lit(True)) & F.coalesce(after > gap, F.lit(True)))
     return out
 
 
