@@ -357,8 +357,10 @@ def notice_numbers(spark, sf_dir):
 
 
 def queries() -> dict:
+    from procurelake.plans import more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for k, v in SQL.items() if k in queries()}
