@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from procurelake.llm import queries, repeats
+from tests.oracle import same
 
 
 def brute(rows, length=50):
@@ -76,3 +77,7 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     out = queries.op2_suffix_dedup(spark, d).collect()
     assert sorted((tuple(r) for r in out), key=repr) == brute(rows)
+
+
+def test_query_is_its_sql(spark):
+    assert same(spark, queries.op2_suffix_dedup, queries.oracle_sql()["op2_suffix_dedup"], "/root/testdata/sf0.001") == 200
