@@ -40,14 +40,16 @@ STEPS = LENGTH - K + 1
 REACH = (LENGTH - K) // 2
 MANY = 48
 #: Bytes whose suffix arrays are built at once.
-BATCH = 1 << 20
+BATCH = 3 << 18
+#: Bytes of text whose contexts are found at once.
+BLOCK = 1 << 19
 _U = np.uint64
 _PLACE = 27  # bits of a place in a block
 
 
 def labels(spark: SparkSession) -> list[int]:
-    """Numbers that a hash partitioner deals to all partitions, one each: index by partition."""
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Numbers that a hash partitioner deals to all partitions, one each: index by partition. Twice as many as for other shuffles: whole partitions are held."""
+    n = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     got: dict[int, int] = {}
     at = 0
     while len(got) < n:
@@ -341,7 +343,7 @@ def removed(df: DataFrame, key: str = "doc_id", column: str = "text", carry: lis
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, data, offsets in text.blocks(batch):
+            for b, data, offsets in text.blocks(batch, limit=BLOCK):
                 c = contexts(data, offsets)
                 known = ~np.asarray(b.column(0).is_null())
                 ok = known[c["doc"]] if len(c["doc"]) else np.zeros(0, bool)
