@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
 
-#: Words and pieces that a worker remembers; longer words are not remembered.
-REMEMBERED, LONGEST = 700_000, 64
+#: Words, and pieces of words, that each of two generations of a worker's memory holds; longer words are not remembered.
+REMEMBERED, LONGEST = 350_000, 64
 #: Below this, normal form C and lower case are the same wherever they are computed; İ (U+0130) aside.
 PLAIN = "ɐ"
 _ODD = re.compile("[\x1c-\x1f]")
@@ -43,34 +44,44 @@ class WordEncoder:
             self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.pieces_before: dict[str, bytes] = {}
 
     def _all(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces_before.get(piece)
+        if ids is None:
+            plain = piece.isascii() and piece.isprintable()  # these bytes are written as themselves
+            made = self.tokenizer.model.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.letters))
+            ids = array("H", [t.id for t in made]).tobytes()
+        if len(piece) <= LONGEST:
+            self.pieces[piece] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
-        out = []
         low = word.lower()
-        for p in [low] if low.isalpha() else self.split(low):
-            if (ids := self.pieces.get(p)) is None:
-                made = self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(self.letters))
-                ids = np.array([t.id for t in made], "<u2").tobytes()
-                if len(p) <= LONGEST:
-                    self.pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        known = self.pieces.get
+        if low.isalpha():
+            return known(low) or self._piece(low)
+        return b"".join([known(p) or self._piece(p) for p in self.split(low)])
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+        """Ids of words that are not in memory, which remembers them; the long ones are given back."""
         once: dict[str, bytes] = {}
-        plain = [w for w in words if self.plain and max(w) < PLAIN and "İ" not in w]
-        rest = list(set(words).difference(plain))
-        for some, ids in ((plain, map(self._word, plain)), (rest, self._all(rest))):
-            for w, x in zip(some, ids, strict=True):
-                (self.known if len(w) <= LONGEST else once)[w] = x
+        hard = []
+        for w in words:
+            ids = self.known_before.get(w)
+            if ids is None and self.plain and (w.isascii() or max(w) < PLAIN and "İ" not in w):
+                ids = self._word(w)
+            if ids is None:
+                hard.append(w)
+            else:
+                (self.known if len(w) <= LONGEST else once)[w] = ids
+        for w, ids in zip(hard, self._all(hard), strict=True):
+            (self.known if len(w) <= LONGEST else once)[w] = ids
         return once
 
     def encode(self, text: str) -> bytes:
@@ -78,6 +89,10 @@ class WordEncoder:
         if _ODD.search(text):  # these separate words for Python but not for the tokenizer
             return self._all([text])[0]
         words = text.split()
+        if len(self.known) > REMEMBERED:
+            self.known, self.known_before = {}, self.known
+        if len(self.pieces) > REMEMBERED:
+            self.pieces, self.pieces_before = {}, self.pieces
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:

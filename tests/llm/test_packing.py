@@ -25,6 +25,15 @@ def test_words(t):
     assert np.frombuffer(OWN.encode(t), "<u2").tolist() == ids(t)
 
 
+def test_small_memory(monkeypatch):
+    from procurelake.llm import wordbpe
+
+    monkeypatch.setattr(wordbpe, "REMEMBERED", 3)
+    own = WordEncoder(PATH)
+    for t in ["a b c d e", "a b x!! y z", "c d e a x!!", "q r s t u v w a b " * 3] * 3:
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == ids(t)
+
+
 def test_knapsack_and_program():
     r = np.random.default_rng(0)
     for _ in range(20):
