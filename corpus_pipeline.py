@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are near a language's histograms."""
     prepared(spark)
-    return quality.judged(docs, quality.references(docs)).where("kept").select(*docs.columns)
+    return quality.kept(docs, quality.references(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
