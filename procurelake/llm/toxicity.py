@@ -1,11 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-1. Log-count ratios: for every hashed n-gram, in how many toxic and in how many other labelled
-   texts it occurs, summed by Spark over all labelled texts.
+0. Sample: at most SAMPLE labels, those with the smallest hash of the id, are broadcast to the texts.
+1. Log-count ratios: for every hashed n-gram, in how many toxic and in how many other texts of the
+   sample it occurs, summed by Spark.
 2. Features: the FEATURES n-grams that depend most on the label (by the likelihood-ratio statistic),
    present or not, scaled by the ratio.
-3. Weights: logistic regression by gradient steps on the driver, over at most SAMPLE labelled
-   texts (those with the smallest hash of the text's id); the driver gets only their features.
+3. Weights: logistic regression by gradient steps on the driver, which gets only the sample's features.
 4. Scores: table and weights are broadcast (4 * 2**BITS bytes); texts are scored in numpy.
 
 A null or empty text has no feature and gets the score of an empty text. Labels other than 0 and
@@ -28,10 +28,9 @@ from procurelake.llm import ngrams, text
 from procurelake.llm.spark import prepared
 
 SIZES, BITS, FEATURES = (4, 5, 6), 20, 4096
-#: Labelled texts that the weights are fitted on, at most.
-SAMPLE = 20_000
+#: Labels that the model is fitted on, at most; tasks that count their n-grams; least ratio of a feature.
+SAMPLE, TASKS, LEAST_RATIO = 20_000, 8, 0.7
 THRESHOLD = 0.3
-_EVERY = 1 << 63
 
 
 def _present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +73,7 @@ def ratios(df: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     tells = (part(a) + part(b) + part(p - a) + part(q - b) - part(a + b) - part(p + q - a - b)) + part(p + q) - part(p) - part(q)
     tells *= a + b >= 2
     best = np.lexsort((got["bin"], -tells))[:FEATURES]
-    best = best[(tells[best] > 1e-6) & (np.abs(r[best]) > 1e-9)]
+    best = best[(tells[best] > 1e-6) & (np.abs(r[best]) >= LEAST_RATIO)]
     return got["bin"].to_numpy(np.int64)[best], r[best], p, q
 
 
@@ -91,19 +90,19 @@ def _features(spark, df: DataFrame, wanted: np.ndarray) -> list[tuple[int, np.nd
     return [(r.toxic, np.frombuffer(r.own, "<i2")) for r in df.select("text", "toxic").mapInArrow(run, "toxic int, own binary").collect()]
 
 
-def fit(df: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
-    """(weight of each bin, bias) from the rows of df whose label is 0 or 1."""
-    spark = prepared(df.sparkSession)
-    rows = df.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(column), F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic"), F.xxhash64(key).alias("order"))
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
+    """(weight of each bin, bias) from the texts of docs that labels give 0 or 1."""
+    spark = prepared(docs.sparkSession)
+    sample = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("toxic")).orderBy(F.xxhash64("__id"), "__id", "toxic").limit(SAMPLE)
+    texts = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "__id").select("text", "toxic").repartition(TASKS)
     bins, r, p, q = ratios(rows)
     weights = np.zeros(1 << BITS, np.float32)
     if not p or not q:
         return weights, float(np.log((p + 1e-9) / (q + 1e-9))) if p + q else -50.0
     place = np.zeros(1 << BITS, np.int16)
     place[bins] = np.arange(1, len(bins) + 1)
-    share = min(1.0, SAMPLE / (p + q))
-    least = -_EVERY + int(share * 2 * _EVERY)
-    sample = _features(spark, rows.where(F.col("order") <= F.lit(min(least, _EVERY - 1)).cast("long")), place)
+    sample = _features(spark, rows, place)
     y = np.array([t for t, _ in sample], float)
     at = np.repeat(np.arange(len(sample)), [len(x) for _, x in sample])
     f = np.concatenate([x for _, x in sample]).astype(np.int64) if sample else np.zeros(0, np.int64)

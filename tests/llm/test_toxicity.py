@@ -12,9 +12,16 @@ def rows():
     return [(i, t, int(t in TOXIC)) for i, t in enumerate((CLEAN + TOXIC) * 4)]
 
 
+def fitted(spark, data):
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    return toxicity.fit(df.select("doc_id", "text"), df.select("toxic", "doc_id"))
+
+
 def test_ratios_are_those_of_brute_force(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string, toxic int").selectExpr("text", "toxic")
+    toxicity_least, toxicity.LEAST_RATIO = toxicity.LEAST_RATIO, 0
     bins, r, p, q = toxicity.ratios(df)
+    toxicity.LEAST_RATIO = toxicity_least
     grams = {(t, y): {f" {t} "[i : i + n] for n in toxicity.SIZES for i in range(len(t) + 3 - n)} for _, t, y in rows()}
     want = set()
     for g in set().union(*grams.values()):
@@ -24,7 +31,7 @@ def test_ratios_are_those_of_brute_force(spark):
 
 
 def test_learns_and_scores(spark):
-    model = toxicity.fit(spark.createDataFrame([*rows(), (90, "odd", None), (91, None, 0), (92, "x", 5)], "doc_id long, text string, toxic int"))
+    model = fitted(spark, [*rows(), (90, "odd", None), (91, None, 0), (92, "x", 5)])
     ask = [(1, "such a stupid clown", 1.0), (2, "a calm river", 1.0), (3, None, 1.0), (4, "", 1.0), (5, "calm " * 400000, 1.0), (5, "calm " * 400000, 1.0)]
     got = toxicity.score(spark.createDataFrame(ask, "doc_id long, text string, score double"), model)
     assert got.columns == ["doc_id", "text", "score"]
@@ -36,7 +43,7 @@ def test_learns_and_scores(spark):
 def test_no_or_one_class(spark):
     schema = "doc_id long, text string, toxic int"
     for data, least, most in (([], 0, 1e-9), ([(1, "a", 1)], 0.99, 1), ([(1, "a", 0)], 0, 0.01)):
-        got = toxicity.score(spark.createDataFrame(rows(), schema), toxicity.fit(spark.createDataFrame(data, schema))).collect()
+        got = toxicity.score(spark.createDataFrame(rows(), schema), fitted(spark, data)).collect()
         assert all(least <= r.score <= most for r in got)
     assert toxicity.score(spark.createDataFrame([], schema), (np.zeros(1 << toxicity.BITS, np.float32), 0.0)).count() == 0
 
