@@ -6,11 +6,15 @@
 2. Forest: each of TREES orders sorts all classes by its own DEPTH components (a range-partitioned
    sort, so that no group of classes lands in one task). Candidates are neighbours with a common
    prefix of LEAST components. The depth adapts to the region: where at most REGION classes share a
-   prefix of 3, 4, 5 or 6, all of them are neighbours; beyond, the next FEW in the order are.
-   Candidates whose one-bit signatures differ too much for the threshold are left out.
+   prefix of 3, 4, 5 or 6, all of them are neighbours; beyond, the next FEW in the order are, with
+   ties in an order of the tree's own. Candidates whose one-bit signatures differ too much for the
+   threshold are left out.
 3. Links are confirmed on the full sets. First each class with the likest candidate of smaller
    hash; then every other candidate that would join two components.
 4. Components: labels spread over links with pointer jumping, checkpointed each round.
+5. Crowds: classes chained by regions of over REGION. Where a crowd has several components, those of
+   its classes that share enough shingles with others of the crowd are dealt out in chunks of about
+   CHUNK, and each pair of chunks that has two components is compared whole, on full sets.
 
 A text without words has an empty set and no links. Null texts are empty; null ids come last in the
 choice of a component's id (a component of null ids has a null id). Repeated rows share a class.
@@ -31,8 +35,12 @@ from procurelake.llm.spark import once, prepared, stored
 
 WIDTH, COMPONENTS = 5, 128
 TREES, DEPTH, LEAST, REGION, FEW = 16, 6, 3, 64, 4
+#: Classes of a crowd that are compared with each other, or with as many others, in one group.
+CHUNK = 1024
 _U = np.uint64
 _ODD = text.mix(np.arange(1, COMPONENTS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
+#: Undoes the product with _ODD, by which each tree orders ties.
+_BACK = np.array([pow(int(x), -1, 1 << 64) for x in _ODD[:TREES]], np.uint64)
 
 
 def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +106,9 @@ def _most_unlike(percent: int) -> int:
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, unlike) with a < b: neighbours in any of the forest's orders."""
+    """(a, b, unlike, crowd) with a < b: neighbours in any of the forest's orders.
+
+    crowd: the next in a region of over REGION; such pairs are there however unlike they are."""
     spark = prepared(classes.sparkSession)
     most = _most_unlike(percent)
 
@@ -108,7 +118,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             bits = [x.tobytes() for x in np.packbits((sig & 1).astype(np.uint8), axis=1)]
             for t in range(TREES):
                 own = [x.tobytes() for x in np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own, pa.binary()), b.column(0), pa.array(bits, pa.binary())], names=["tree", "path", "node", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own, pa.binary()), pa.array((np.asarray(b.column(0)).view(np.uint64) * _ODD[t]).view(np.int64)), pa.array(bits, pa.binary())], names=["tree", "path", "tie", "bits"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b for b in batches if b.num_rows]
@@ -118,7 +128,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         tree = np.asarray(table["tree"])
         path = np.frombuffer(b"".join(table["path"].to_pylist()), ">u2").reshape(-1, DEPTH).astype(np.uint16)
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(tree), -1)
-        node = np.asarray(table["node"])
+        node = (np.asarray(table["tie"]).view(np.uint64) * _BACK[tree]).view(np.int64)
         n, place = len(tree), np.arange(len(tree))
         reach = np.minimum(place + FEW, n - 1)
         changed = tree[1:] != tree[:-1]
@@ -140,15 +150,17 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             if not len(i):
                 break
             unlike = np.bitwise_count(bits[i] ^ bits[i + o]).sum(1)
-            i, unlike = i[unlike <= most], unlike[unlike <= most]
+            crowd = ~settled[i] & (region[i] == region[i + o]) & (o == 1)
+            ok = crowd | (unlike <= most)
+            i, unlike, crowd = i[ok], unlike[ok], crowd[ok]
             if len(i):
                 a, b = np.minimum(node[i], node[i + o]), np.maximum(node[i], node[i + o])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(unlike, pa.int32())], names=["a", "b", "unlike"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(unlike, pa.int32()), pa.array(crowd)], names=["a", "b", "unlike", "crowd"])
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = classes.select("node", "signature").mapInArrow(planted, "tree int, path binary, node long, bits binary")
-    order = rows.repartitionByRange(parts, "tree", "path", "node").sortWithinPartitions("tree", "path", "node")
-    return order.mapInArrow(neighbours, "a long, b long, unlike int").groupBy("a", "b").agg(F.min("unlike").alias("unlike"))
+    rows = classes.select("node", "signature").mapInArrow(planted, "tree int, path binary, tie long, bits binary")
+    order = rows.repartitionByRange(parts, "tree", "path", "tie").sortWithinPartitions("tree", "path", "tie")
+    return order.mapInArrow(neighbours, "a long, b long, unlike int, crowd boolean").groupBy("a", "b").agg(F.min("unlike").alias("unlike"), F.max("crowd").alias("crowd"))
 
 
 def full_sets(df: DataFrame, chosen: DataFrame, key: str, column: str) -> DataFrame:
@@ -196,6 +208,94 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("new").alias("label"))
 
 
+def common(own: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of some sets have in common."""
+    n, size = len(own), np.array([len(x) for x in own])
+    word, at = np.unique(np.concatenate(own), return_inverse=True)
+    who = np.repeat(np.arange(n), size)
+    order = np.argsort(at, kind="stable")
+    times = np.bincount(at, minlength=len(word))
+    edge = np.concatenate([[0], np.cumsum(times)])
+    out = np.zeros((n, n), np.float32)
+    often = np.flatnonzero(times > max(1, n // 8))
+    for k in range(0, len(often), 2048):
+        some = often[k : k + 2048]
+        x = np.zeros((n, len(some)), np.float32)
+        x[who[order[np.repeat(edge[some], times[some]) + text.ranges(times[some])]], np.repeat(np.arange(len(some)), times[some])] = 1
+        out += x @ x.T
+    seldom = (times > 1) & (times <= max(1, n // 8))
+    for i, (a, b) in enumerate(zip(np.cumsum(size) - size, np.cumsum(size), strict=True)):
+        w = at[a:b][seldom[at[a:b]]]
+        if len(w):
+            out[i] += np.bincount(who[order[np.repeat(edge[w], times[w]) + text.ranges(times[w])]], minlength=n)
+    np.fill_diagonal(out, size)
+    return out
+
+
+def crowded(met: DataFrame, own: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """`known` (node, label) with the components of each crowd joined that have a link."""
+    end = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    chain = met.where("crowd").select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    across = once(chain.where("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if not across.limit(1).count():
+        return known
+    crowds = components(across).select(F.col("node").alias("label"), F.col("label").alias("crowd"))
+    nodes = chain.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")), F.struct(F.col("b").alias("node"), F.col("lb").alias("label")))).alias("x")).select("x.*").distinct()
+    hot = stored(nodes.join(crowds, "label").join(own, "node").select("node", "crowd", "label", "own"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(k, 64) for k in range(0, b.num_rows, 64)):
+                raw = part.column(2).to_pylist()
+                size = np.array([len(x) // 8 for x in raw])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(0)), size)), pa.array(np.repeat(np.asarray(part.column(1)), size)), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["crowd", "node", "w"])
+
+    # a link's common shingles are at least `percent` of either set, and none of them is of one class only
+    alone = hot.select("crowd", "node", "own").mapInArrow(shingles, "crowd long, node long, w long").groupBy("crowd", "w").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    alone = alone.groupBy("crowd", "node").agg(F.count("*").alias("alone"))
+    size = F.length("own") / 8
+    hot = once(hot.join(alone, ["crowd", "node"], "left").where(100 * (size - F.coalesce("alone", F.lit(0))) >= percent * size).select("crowd", "node", "label", "own"))
+    # chunks: of one large component, or of many small ones whole
+    sizes = hot.groupBy("crowd", "label").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > CHUNK)
+    small = sizes.where("NOT large").groupBy("crowd").agg(F.sum("n").alias("all"))
+    sizes = sizes.join(small, "crowd", "left")
+    dealt = F.ceil(F.when(F.col("large"), F.col("n")).otherwise(F.col("all")) / CHUNK)
+    part = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("label"))), dealt)
+    rows = once(hot.join(sizes.select("crowd", "label", "large", "n", "all"), ["crowd", "label"]).select("crowd", "node", "label", "own", F.when(F.col("large"), F.col("label")).alias("one"), F.struct(F.when(F.col("large"), F.col("label")).alias("one"), part.alias("part")).alias("chunk")))
+    chunks = rows.groupBy("crowd", "chunk").agg(F.first("one").alias("one"))
+    left, right = chunks.select("crowd", F.col("chunk").alias("p"), F.col("one").alias("po")), chunks.select("crowd", F.col("chunk").alias("q"), F.col("one").alias("qo"))
+    pairs = left.join(right, "crowd").where("p <= q AND NOT coalesce(po = qo, false)").withColumn("chunk", F.explode(F.array_distinct(F.array("p", "q")))).select("crowd", "chunk", F.xxhash64("crowd", "p", "q").alias("pair"))
+
+    def compared(t: pa.Table) -> pa.Table:
+        node, label = np.asarray(t["node"]), np.asarray(t["label"])
+        own_ = [np.frombuffer(x, np.uint64) for x in t["own"].to_pylist()]
+        n = np.array([len(x) for x in own_])
+        both = common(own_).astype(np.int64)
+        like = (100 * both >= percent * (n[:, None] + n - both)) & (label[:, None] != label)
+        seen, a, b = np.zeros(len(node), bool), [], []
+        for i in np.flatnonzero(like.any(1)):
+            if seen[i]:
+                continue
+            seen[i], todo = True, [i]
+            while todo:
+                j = todo.pop()
+                new = np.flatnonzero(like[j] & ~seen)
+                seen[new] = True
+                a += [label[j]] * len(new)
+                b += label[new].tolist()
+                todo += new.tolist()
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    links = once(rows.join(pairs, ["crowd", "chunk"]).select("pair", "node", "label", "own").groupBy("pair").applyInArrow(compared, "a long, b long").distinct())
+    if not links.limit(1).count():
+        return known
+    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    single = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    all_ = known.union(single.join(known, "node", "left_anti").select("node", "label"))
+    return once(all_.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
 def linked(df: DataFrame, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(doc_id, th, n_shingles, component_id, kept) for each row."""
     prepared(df.sparkSession)
@@ -205,14 +305,17 @@ def linked(df: DataFrame, percent: int = 80, key: str = "doc_id", column: str =
     met = once(candidates(classes, percent))
     chosen = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "rep.doc_id", "rep.th")
     own = stored(full_sets(df, chosen, key, column))
-    best = met.groupBy("b").agg(F.min(F.struct("unlike", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
+    alike = met.where(F.col("unlike") <= _most_unlike(percent))
+    best = alike.groupBy("b").agg(F.min(F.struct("unlike", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
     first = once(confirmed(best, own, percent))
     labels = components(first)
     end = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    rest = met.join(best, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    rest = alike.join(best, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
     rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
     links = first.union(confirmed(rest, own, percent))
     final = components(links)
+    if met.where("crowd").limit(1).count():
+        final = crowded(met, own, final, percent)
     classes = classes.select("node", "check", "least").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     known = classes.join(ids, "label").select("node", "check", "component_id")

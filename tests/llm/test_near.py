@@ -84,3 +84,30 @@ def test_crowded_region(spark):
         rows.append((d, " ".join(t)))
     got = near.linked(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
     assert {x.component_id for x in got} == {0} and np.sum([x.kept for x in got]) == 1
+
+
+def test_star(spark, monkeypatch):
+    """Over 1000 variants of one text that are like it, but not like each other."""
+    r = random.Random(4)
+    base = [f"x{i}" for i in range(600)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 1201):
+        t = list(base)
+        for k in r.sample(range(0, 600, 5), 9):
+            t[k + r.randrange(5)] = f"y{d}"
+        rows.append((d, " ".join(t)))
+    rows += [(5000 + d, " ".join(base[:300] + [f"z{d}_{i}" for i in range(300)])) for d in range(300)]
+    s = [brute_set(t) for _, t in rows[:1201]]
+    assert all(100 * len(s[0] & x) >= 85 * len(s[0] | x) for x in s)
+    assert len({c for _, _, c in brute(rows[1:60], 85)}) > 50
+    monkeypatch.setattr(near, "CHUNK", 500)
+    got = near.linked(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {x.component_id for x in got if x.doc_id < 5000} == {0}
+    assert all(x.kept for x in got if x.doc_id >= 5000)
+
+
+def test_common():
+    r = random.Random(6)
+    own = [{r.randrange(80) for _ in range(r.randrange(1, 40))} | {r.randrange(10**6) for _ in range(9)} for _ in range(60)]
+    got = near.common([np.array(sorted(s), np.uint64) for s in own])
+    assert got.tolist() == [[len(a & b) for b in own] for a in own]
