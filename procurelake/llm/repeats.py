@@ -5,14 +5,16 @@
    byte of the first to the last of the last. Equal windows have equal anchors at equal places, so
    only contexts that share an anchor's bytes need to meet. They are dealt out by the anchor's hash,
    as packed arrays of hashes and places, without text.
-2. Where contexts meet: of equal ones (by two hashes, 96 bits) all but those of the least id go whole.
+2. Where contexts meet: of equal ones (by two hashes, 96 bits) all but those of the least id go whole;
+   those of the least id all stay, as a document may have the same context several times.
    Different contexts of one anchor can share a window only if the REACH bytes left or right of the
    anchor are equal; those that have such a partner in another document are taken further.
 3. The bytes of these are fetched from the texts and dealt out by anchor. The contexts of an anchor
    are laid end to end, their suffix array is built (`suffixes.suffix_arrays`), and neighbours in
    it that agree in LENGTH bytes tell which windows also start in a document with a smaller id. An
    anchor with more than MANY contexts is thinned first: contexts are cut to what any other shares,
-   and of those that are then equal the one with the least id stands for all.
+   and of those that are then equal the one with the least id stands for all; what is found for it
+   holds for its twins of the same id too.
 4. Ranges come together with the texts once more, and the covered bytes are removed.
 
 Null texts are empty; a null id is smaller than none and no id is smaller than it: such rows stay
@@ -171,10 +173,9 @@ def _meet(it: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.RecordB
     new = _runs(anchor, whole)
     least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
     gone = ids > least
-    reps = np.flatnonzero(new)
-    several = _runs(anchor[reps])
-    count = np.bincount(np.cumsum(several) - 1)
-    reps = reps[count[np.cumsum(several) - 1] > 1]
+    reps = np.flatnonzero(~gone)
+    group = np.cumsum(_runs(anchor)) - 1
+    reps = reps[np.bincount(group[new])[group[reps]] > 1]
     own = order[reps]
     further = _partners(anchor[reps], a["left"][own], ids[reps]) | _partners(anchor[reps], a["right"][own], ids[reps])
     for kind, at in ((0, np.flatnonzero(gone)), (1, reps[further])):
@@ -203,12 +204,13 @@ def _loaded(table: pa.Table) -> dict[str, np.ndarray]:
     return {k: np.concatenate([x[k] for x in all_]) if all_ else np.zeros(0, np.uint64) for k in RANGES.widths}
 
 
-def thinned(ctx: list[bytes], at: np.ndarray, ids: np.ndarray, anchors: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Contexts of one anchor cut to what others share: (those left, their cuts' starts and ends, removed (context, start, end)).
+def thinned(ctx: list[bytes], at: np.ndarray, ids: np.ndarray, anchors: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Contexts of one anchor cut to what others share: (those left, their cuts' starts and ends, removed (context, start, end),
+    (context, the one of the same id that stands for it) as they were met).
 
     anchors: the anchor's place in each context."""
     low, high = np.zeros(len(ctx), np.int64), np.array([len(c) for c in ctx])
-    left, gone = list(np.lexsort((np.arange(len(ctx)), ids))), []
+    left, gone, twins = list(np.lexsort((np.arange(len(ctx)), ids))), [], []
     while len(left) > MANY:
         reach = []
         for side in (0, 1):
@@ -230,12 +232,15 @@ def thinned(ctx: list[bytes], at: np.ndarray, ids: np.ndarray, anchors: np.ndarr
             if high[i] - low[i] < LENGTH:
                 continue
             key = ctx[i][low[i] : high[i]] + int(reach[0][k]).to_bytes(4, "big")
-            if (j := stay.setdefault(key, i)) != i and ids[i] > ids[j]:
-                gone.append((i, int(low[i]), int(high[i])))
+            if (j := stay.setdefault(key, i)) != i:
+                if ids[i] > ids[j]:
+                    gone.append((i, int(low[i]), int(high[i])))
+                else:
+                    twins.append((i, j))
         left = list(stay.values())
         if len(left) == before:
             break
-    return left, low, high, gone
+    return left, low, high, gone, twins
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -304,15 +309,17 @@ def _resolve(it: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.Reco
     ids, start, place = (np.asarray(t[c]) for c in ("doc_id", "start", "place"))
     group = np.asarray(t["anchor"])
     ctx = t["bytes"].to_pylist()
-    # equal contexts were left to one document; rows of one document may still be equal
+    # equal contexts were left to one id; rows of one id may still be equal
     found: list[tuple[int, int, int]] = []
+    twins: list[tuple[int, int]] = []
     keep = np.ones(len(ctx), bool)
     shift = np.zeros(len(ctx), np.int64)
     values, counts = np.unique(group, return_counts=True)
     for v in values[counts > MANY]:
         rows = np.flatnonzero(group == v)
-        left, low, high, gone = thinned([ctx[i] for i in rows], start[rows], ids[rows], place[rows])
+        left, low, high, gone, same = thinned([ctx[i] for i in rows], start[rows], ids[rows], place[rows])
         found += [(int(rows[i]), a, b) for i, a, b in gone]
+        twins += [(int(rows[i]), int(rows[j])) for i, j in same]
         keep[rows] = False
         for i in left:
             keep[rows[i]], shift[rows[i]] = True, low[i]
@@ -321,6 +328,12 @@ def _resolve(it: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.Reco
     found += [(int(some[i]), int(a + shift[some[i]]), int(b + shift[some[i]])) for i, a, b in shared_windows(group[some], ids[some], [ctx[i] for i in some])]
     if not found:
         return
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for i, a, b in found if twins else []:
+        spans.setdefault(i, []).append((a, b))
+    for i, j in reversed(twins):
+        spans[i] = [(int(a + place[i] - place[j]), int(b + place[i] - place[j])) for a, b in spans.get(j, [])]
+        found += [(i, a, b) for a, b in spans[i]]
     r, a, b = (np.array(x) for x in zip(*found, strict=True))
     columns = {"id": ids[r].view(np.uint64), "th": np.asarray(t["th"])[r].view(np.uint32).astype(np.uint64), "start": (start[r] + a).astype(np.uint64), "bytes": (b - a).astype(np.uint64), "anchor": np.zeros(len(r), np.uint64)}
     for i, blob in _dealt(np.asarray(t["home"])[r].astype(np.int64), names, RANGES, columns):

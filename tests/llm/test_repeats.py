@@ -81,3 +81,16 @@ def test_query(spark):
 
 def test_query_is_its_sql(spark):
     assert same(spark, queries.op2_suffix_dedup, queries.oracle_sql()["op2_suffix_dedup"], "/root/testdata/sf0.001") == 200
+
+
+@pytest.mark.parametrize("many", [2, 48])
+def test_twice_in_the_same_surroundings(spark, monkeypatch, many):
+    monkeypatch.setattr(repeats, "MANY", many)
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for d in range(0, 400, 20):
+        passage, before, after = noise(60), noise(90), noise(90)
+        rows += [(d + 2, noise(90) + passage + noise(90)), (d + 3, noise(90) + passage[:55] + noise(90))]
+        rows += [(d + 5, (before + passage + after) * 3), (d + 7, before + passage + after)]
+    assert got(spark, rows) == brute(rows)
