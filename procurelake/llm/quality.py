@@ -9,8 +9,8 @@ are taken only from CLASS_WORDS and WORD_WORDS words on; without references no t
 
 Null texts are empty; empty texts have no words and fail the base rule. Null languages take no
 part in references. Texts of any length are counted whole: in those of under 4096 words windows are
-sorted by 52 bits of a hash and their places (two different windows of a text share these with a
-probability below 2e-9), in longer ones by the windows themselves. Further columns stay; columns
+sorted by 52 bits of a hash and their places, and a text in which two different windows share these
+bits is sorted by the windows themselves instead, as longer ones are. Further columns stay; columns
 named like the results are replaced.
 """
 
@@ -32,6 +32,8 @@ COMMON = {
     "de": "der die das und ist nicht mit ein zu den".split(),
     "fr": "le la les et des est un une que pour".split(),
     "es": "el los las de y en por con una del".split(),
+    "it": "il di che non per sono gli della".split(),
+    "da": "og i at det en til af som".split(),
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "mark", "other")
@@ -76,11 +78,17 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
     high = lambda x: F.shiftright(x, _BITS)
     key = F.transform(windows, lambda x, i: F.shiftleft(high(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), _BITS).bitwiseOR(i.cast("long")))
     df = df.withColumn("__keys", F.when(F.size(w) < 1 << _BITS, F.sort_array(key)).otherwise(F.array().cast("array<bigint>")))
-    found = _neighbours(F.col("__keys"), lambda a, b: high(a) == high(b))
+    same = lambda a, b: high(a) == high(b)
+    df = df.withColumn("__found", _neighbours(F.col("__keys"), same))
+    low = lambda x: x.bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+    window = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"))
+    found = F.col("__found")
+    clash = F.exists(F.transform(found, lambda x, i: F.struct(x.alias("x"), F.get(found, i + 1).alias("y"))), lambda p: F.coalesce(same(p["x"], p["y"]) & (window(low(p["x"])) != window(low(p["y"]))), F.lit(False)))
+    df = df.withColumn("__exact", (F.size(w) >= 1 << _BITS) | clash)
     whole = F.sort_array(F.transform(windows, lambda x, i: F.struct(F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c")).alias("g"), i.alias("i"))))
-    df = df.withColumn("__whole", F.when(F.size(w) >= 1 << _BITS, whole))
+    df = df.withColumn("__whole", F.when(F.col("__exact"), whole))
     exact = F.transform(_neighbours(F.col("__whole"), lambda a, b: a["g"] == b["g"]), lambda x: x["i"].cast("int"))
-    places = F.when(F.size(w) >= 1 << _BITS, exact).otherwise(F.transform(found, lambda x: x.bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")))
+    places = F.when(F.col("__exact"), exact).otherwise(F.transform(found, low))
     df = df.withColumn("__places", F.sort_array(places))
     n = F.size(w).cast("long")
     df = df.withColumns(
@@ -93,7 +101,7 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     failed = (F.col("n_words") < MIN_DOC_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_SHARE * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("__words", "__lines", "__keys", "__whole", "__places")
+    return df.withColumn("base_failed", failed).drop("__words", "__lines", "__keys", "__found", "__exact", "__whole", "__places")
 
 
 def histograms(df: DataFrame, text: str = "text") -> DataFrame:

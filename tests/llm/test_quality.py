@@ -29,6 +29,24 @@ def test_counts(spark):
     assert q.counted(df.limit(0)).count() == 0
 
 
+def test_clashing_hashes(spark, monkeypatch):
+    monkeypatch.setattr(q.F, "xxhash64", lambda *c: q.F.length(c[0]).cast("long") * (1 << 40))
+    texts = ["a b c d e a b c x y", "p q r s t u v w", "aa b aa b aa c dd b aa b"]
+    got = [r.n_repeat_words for r in q.counted(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()]
+    assert got == [brute(t)[4] for t in texts]
+
+
+def test_junk_beside_each_language(spark):
+    """Texts without common words are far from the reference of every language that has a list."""
+    clean = lambda ws, n: " ".join(f"{w} wort{n}{'abcdefghij'[i % 10]}{'klmnop'[i % 6]} satz{'qrstu'[i % 5]}" for i, w in enumerate(ws * 40))
+    junk = " ".join(f"wort{'abcdefghijklmnopqrst'[i % 20]}{'uvwxyzabcdefg'[i // 20]}" for i in range(200))
+    for lang in ("en", "de", "fr", "es", "it", "da"):
+        ws = {"it": "il di che non per sono gli della", "da": "og i at det en til af som"}.get(lang, "").split() or q.COMMON[lang]
+        refs = q.references(spark.createDataFrame([(clean(ws, k), lang) for k in "xyz"], "text string, lang string"))
+        got = q.judged(spark.createDataFrame([(junk,), (clean(ws, "x"),)], "text string").coalesce(1), refs).collect()
+        assert got[0].word_distance > q.WORD_LIMIT and got[1].word_distance < q.WORD_LIMIT, lang
+
+
 def test_distance(spark):
     p, ref = [3, 0, 1], [0.5, 0.25, 0.25]
     m = [(a / 4 + b) / 2 for a, b in zip(p, ref)]
