@@ -363,4 +363,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in queries()}
+    known = queries()
+    return {k: v for k, v in SQL.items() if k in known}
