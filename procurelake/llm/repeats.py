@@ -5,7 +5,8 @@
    byte of the first to the last of the last. Equal windows have equal anchors at equal places, so
    only contexts that share an anchor's bytes need to meet. They are dealt out by the anchor's hash,
    as packed arrays of hashes and places, without text.
-2. Where contexts meet: of equal ones (by two hashes, 96 bits) all but those of the least id go whole;
+2. Where contexts meet: of equal ones (64 bits of a hash of
+   all bytes, beside 48 of the anchor's) all but those of the least id go whole;
    those of the least id all stay, as a document may have the same context several times.
    Different contexts of one anchor can share a window only if the REACH bytes left or right of the
    anchor are equal; those that have such a partner in another document are taken further.
@@ -81,7 +82,7 @@ class Packed:
 
 
 DOCS = Packed(id=8, th=4, home=4)
-ANCHORS = Packed(anchor=8, whole=6, left=2, right=2, doc=3, start=4, windows=1)
+ANCHORS = Packed(anchor=6, whole=8, left=2, right=2, doc=3, start=4, windows=1)
 RANGES = Packed(id=8, th=4, start=4, bytes=4, anchor=8)
 
 
@@ -114,7 +115,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     for a, b in some:
         fits = (a >= first) & (b <= end)
         out.append(np.where(fits, text.span_hashes(data, np.where(fits, a, first), np.where(fits, b, end)) | _U(1), _U(0)))
-    return {"anchor": text.mix(h[place]), "whole": out[0] >> _U(16), "left": out[1] & _U(0xFFFF), "right": out[2] & _U(0xFFFF), "doc": doc[first], "at": first, "windows": last - first + 1}
+    return {"anchor": text.mix(h[place]) >> _U(16), "whole": out[0], "left": out[1] & _U(0xFFFF), "right": out[2] & _U(0xFFFF), "doc": doc[first], "at": first, "windows": last - first + 1}
 
 
 def _dealt(to: np.ndarray, names: list[int], pack: Packed, columns: dict, extra: bytes | None = None) -> Iterator[tuple[int, bytes]]:
@@ -204,14 +205,14 @@ def _loaded(table: pa.Table) -> dict[str, np.ndarray]:
     return {k: np.concatenate([x[k] for x in all_]) if all_ else np.zeros(0, np.uint64) for k in RANGES.widths}
 
 
-def thinned(ctx: list[bytes], at: np.ndarray, ids: np.ndarray, anchors: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, list[tuple[int, int, int]], list[tuple[int, int]]]:
+def thinned(ctx: list[bytes], at: np.ndarray, ids: np.ndarray, anchors: np.ndarray, many: int = MANY) -> tuple[list[int], np.ndarray, np.ndarray, list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Contexts of one anchor cut to what others share: (those left, their cuts' starts and ends, removed (context, start, end),
     (context, the one of the same id that stands for it) as they were met).
 
     anchors: the anchor's place in each context."""
     low, high = np.zeros(len(ctx), np.int64), np.array([len(c) for c in ctx])
     left, gone, twins = list(np.lexsort((np.arange(len(ctx)), ids))), [], []
-    while len(left) > MANY:
+    while len(left) > many:
         reach = []
         for side in (0, 1):
             if side:
@@ -301,7 +302,7 @@ def shared_windows(group: np.ndarray, ids: np.ndarray, ctx: list[bytes]) -> list
 CONTEXT = "bucket int, anchor long, doc_id long, th int, home int, start int, place int, bytes binary"
 
 
-def _resolve(it: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.RecordBatch]:
+def _resolve(it: Iterator[pa.RecordBatch], names: list[int], many: int) -> Iterator[pa.RecordBatch]:
     own = [b for b in it if b.num_rows]
     if not own:
         return
@@ -315,9 +316,9 @@ def _resolve(it: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.Reco
     keep = np.ones(len(ctx), bool)
     shift = np.zeros(len(ctx), np.int64)
     values, counts = np.unique(group, return_counts=True)
-    for v in values[counts > MANY]:
+    for v in values[counts > many]:
         rows = np.flatnonzero(group == v)
-        left, low, high, gone, same = thinned([ctx[i] for i in rows], start[rows], ids[rows], place[rows])
+        left, low, high, gone, same = thinned([ctx[i] for i in rows], start[rows], ids[rows], place[rows], many)
         found += [(int(rows[i]), a, b) for i, a, b in gone]
         twins += [(int(rows[i]), int(rows[j])) for i, j in same]
         keep[rows] = False
@@ -340,10 +341,11 @@ def _resolve(it: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([names[i]], pa.int32()), pa.array([2], pa.int32()), pa.array([blob], pa.binary())], names=["home", "kind", "ranges"])
 
 
-def removed(df: DataFrame, key: str = "doc_id", column: str = "text", carry: list[str] | None = None) -> DataFrame:
+def removed(df: DataFrame, key: str = "doc_id", column: str = "text", carry: list[str] | None = None, many: int = MANY) -> DataFrame:
     """(doc_id, th, n, n_bytes, spans, kept): maximal removed runs (start, end) of the text's bytes, and the rest.
 
-    With `carry`, these columns of df too as carried0, carried1, ..., and the rest as a text, `rest`."""
+    With `carry`, these columns of df too as carried0, carried1, ..., and the rest as a text, `rest`.
+    An anchor with more than `many` contexts is thinned before its suffix array is built."""
     spark = prepared(df.sparkSession)
     names = labels(spark)
     parts = len(names)
@@ -412,7 +414,7 @@ def removed(df: DataFrame, key: str = "doc_id", column: str = "text", carry: lis
         )
 
     some = texts.groupBy("home").cogroup(met.where("kind = 1").groupBy("home")).applyInArrow(fetched, CONTEXT)
-    solved = some.repartition(parts, "bucket").mapInArrow(lambda it: _resolve(it, names), "home int, kind int, ranges binary")
+    solved = some.repartition(parts, "bucket").mapInArrow(lambda it: _resolve(it, names, many), "home int, kind int, ranges binary")
 
     def cut(docs: pa.Table, ranges: pa.Table) -> pa.Table:
         data, offsets = text.buffers(docs["text"])

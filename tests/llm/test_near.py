@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from procurelake.llm import near, queries, text
 from tests.oracle import same
@@ -106,6 +107,27 @@ def test_star(spark, monkeypatch):
     assert all(x.kept for x in got if x.doc_id >= 5000)
 
 
+@pytest.mark.parametrize("changed, apart", [(3, 5), (3, 10), (2, 7)])
+def test_pairs_over_one_template(spark, changed, apart):
+    """Recall of links between pairs that share most of their words with all others, without being like them."""
+    r = random.Random(changed * apart)
+    base, rows = [f"x{i}" for i in range(400)], []
+    for p in range(150):
+        a = list(base)
+        for k in r.sample(range(400), apart):
+            a[k] = f"p{p}_{k}"
+        b = list(a)
+        for k in r.sample(range(0, 400, 7), 2 * changed):
+            b[k] = f"q{p}_{k}"
+        rows += [(2 * p, " ".join(a)), (2 * p + 1, " ".join(b))]
+    want = brute(rows, 85)
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in near.linked(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()), key=repr)
+    links = sum(c != d for d, _, c in want)
+    found = sum(c == w != d for (d, _, c), (_, _, w) in zip(got, want))
+    print(f"recall {found} of {links}")
+    assert links > 100 and found >= 0.98 * links and all(c == d for (d, _, c), (_, _, w) in zip(got, want) if w == d)
+
+
 def test_common():
     r = random.Random(6)
     own = [{r.randrange(80) for _ in range(r.randrange(1, 40))} | {r.randrange(10**6) for _ in range(9)} for _ in range(60)]
