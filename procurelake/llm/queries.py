@@ -119,7 +119,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     added = spark.sql("SELECT -7L AS conv_id, t.turn, t.role, :said AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)", args={"said": CONTROL})
-    out = chat.render(chat.canonical(chat.gathered(turns.unionByName(added)), "record"))
+    out = chat.render(chat.canonical(chat.mixed(chat.gathered(turns.unionByName(added))), "record"))
     read, loss = chat.read_turns(F.col("formatted")), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "")
     out = out.select("conv_id", "formatted", read.alias("read"), loss.alias("loss"))
     return out.select(
@@ -143,15 +143,12 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-named AS (
-  SELECT conv_id, turn, role AS raw, text, CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant'
-    WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END AS role FROM rows),
 longer AS (
-  SELECT *, length(role || text) + (length(role || text) - length(translate(role || text, '\<#', ''))) + 20 AS chars FROM named)
+  SELECT *, length(role || text) + (length(role || text) - length(translate(role || text, '\<#', ''))) + 20 AS chars FROM rows)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, raw, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, raw, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM longer GROUP BY conv_id
 """
