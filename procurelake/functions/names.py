@@ -26,9 +26,11 @@ WORDS = {
 }
 #: Words that tell little about a firm.
 STOP_WORDS = (
-    "af arhus asset assets brdr brodrerne co dansk data development dk ejendomsselskabet finans forsikring group holding hotels hotel int invest kbh "
-    "komplementaerssaelskabet livforsikringsselskab management media nordic nordisk og scandinavia scandinavian service services skandia software system systems ltd filial for"
-).split()
+    "af", "arhus", "asset", "assets", "brdr", "brodrerne", "co", "dansk", "data", "development", "dk", "ejendomsselskabet", "finans", "forsikring",
+    "group", "holding", "hotels", "hotel", "int", "invest", "kbh", "komplementaerssaelskabet", "livforsikringsselskab", "management", "media",
+    "nordic", "nordisk", "og", "scandinavia", "scandinavian", "service", "services", "skandia", "software", "system", "systems", "ltd", "filial",
+    "for",
+)
 #: Labels of collaborations between firms.
 COLLABORATION = r"(?i)konsorti(?:et|um|e)?|consorti(?:um)?|joint[ -]?venture|(?<!\p{Alnum})j[.]?\s*v[.]?(?!\p{Alnum})|sammenslutningen(?:\s+af)?|i\s+samarbejde\s+med|sammen\s+med"
 
@@ -45,7 +47,7 @@ def prepared(c: Column) -> dict[str, Column]:
     low = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), LETTERS, F.lower(trimmed(c)))
     # the first pattern of the list that is found names the form, stripped of others or not
     form = F.coalesce(*[F.when(low.rlike(alone(p)), F.lit(t)) for p, t in LEGAL_FORMS], F.lit(NO_FORM))
-    basic = squished(reduce(lambda x, p: F.regexp_replace(x, alone(p[0]), ""), LEGAL_FORMS, low))
+    basic = squished(reduce(lambda x, p: F.regexp_replace(x, alone(p[0]), " "), LEGAL_FORMS, low))
     plain = basic
     for a, b in (("oe", "o"), ("aa", "a"), ("&", " og "), ("v/", " "), ("/", "")):
         plain = F.replace(plain, F.lit(a), F.lit(b))

@@ -83,6 +83,16 @@ def log_positive(c: Column) -> Column:
     return F.when(c > 0, F.log(c))
 
 
+def with_transforms(name: str) -> dict[str, Column]:
+    """A value, its natural log where positive, and its inverse hyperbolic sine."""
+    c = F.col(name)
+    return {name: c, f"log_{name}": log_positive(c), f"asinh_{name}": F.asinh(c)}
+
+
+def year_start(c: Column) -> Column:
+    return F.trunc(c, "year")
+
+
 def years_between(start: Column, end: Column) -> Column:
     """Whole years of 365.25 days."""
     return F.floor(F.datediff(end, start) / F.lit(365.25)).cast("int")

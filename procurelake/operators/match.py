@@ -1,9 +1,9 @@
 """Linking entities to registered names: the exact ladder, blocked fuzzy passes, and what is accepted.
 
 The ladder is one job: the joins of all steps are tagged and united, date-invalid candidates go, and
-each entity keeps its first step with a candidate left. The fuzzy passes are one job as well. Name
-keys that are null match null keys, as they do where the results come from; null_safe=False turns
-that off.
+each entity keeps its first step with a candidate left. A fuzzy pass is a job and gets what the
+passes before it left. Name keys that are null match null keys, as they do where the results come
+from, by distinct dates and not by rows; null_safe=False turns that off.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ TOLERANCE = 730
 STEPS = (("name_basic", "firm_type"), ("name_no_spaces", "firm_type"), ("name_no_spaces",), ("name_broad",))
 #: Fuzzy passes: source of the key, name compared, block, and the score to exceed.
 PASSES = (("name", "name_clean", "first_letter", 85.0), ("biname", "name_clean", "first_letter", 85.0), ("name", "name_broad", "broad_first_letter", 86.0), ("biname", "name_broad", "broad_first_letter", 89.0))
+#: The number of a step that compares prepared or broad names.
+FUZZY_STEPS = {"name_clean": 5, "name_broad": 6}
 TOP = 5
 SOURCES = {"name": 1, "biname": 2}
 FORMS = ("name_basic", "name_clean", "name_no_spaces", "name_broad", "firm_type")
@@ -47,11 +49,31 @@ def entities(df: DataFrame, name: str, match_id: str, date: str | None = None) -
     return df.select(F.col(match_id).alias("match_id"), day.alias("match_date"), F.col(name).alias("entity_name"), *[forms[k].alias(k) for k in FORMS], forms["first_letter"].alias("first_letter"), F.substring(forms["name_broad"], 1, 1).alias("broad_first_letter"))
 
 
-def _candidates(rows: DataFrame, key: DataFrame, columns: tuple[str, ...], step: int, null_safe: bool) -> DataFrame:
+_FOUND = ("cvr", "registered_name", "name_source", "source_order", "valid_from", "valid_to")
+
+
+def _candidates(rows: DataFrame, key: DataFrame, columns: tuple[str, ...], step: int) -> DataFrame:
+    """Date-valid candidates of rows whose columns are all known."""
     left = rows.select("match_id", "match_date", *[F.col(c).alias(f"__{c}") for c in columns])
-    on = reduce(lambda a, b: a & b, [(F.col(f"__{c}").eqNullSafe(F.col(c)) if null_safe else F.col(f"__{c}") == F.col(c)) for c in columns])
-    met = left.join(key, on).where(valid_on(F.col("match_date"), F.col("valid_from"), F.col("valid_to")))
-    return met.select("match_id", "match_date", F.lit(step).alias("step"), "cvr", "registered_name", "name_source", "source_order", "valid_from", "valid_to")
+    met = left.join(key, reduce(lambda a, b: a & b, [F.col(f"__{c}") == F.col(c) for c in columns]))
+    met = met.where(valid_on(F.col("match_date"), F.col("valid_from"), F.col("valid_to")))
+    return met.select("match_id", "match_date", F.lit(step).alias("step"), *_FOUND)
+
+
+def _unknown(rows: DataFrame, key: DataFrame, columns: tuple[str, ...], step: int) -> DataFrame:
+    """The preferred candidate of rows with an unknown column, which unknown columns of the key equal.
+
+    Rows with equal columns and dates are one problem, so candidates grow with dates and not with rows."""
+    some = lambda df: df.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
+    left = some(rows).select("match_id", "match_date", *[F.col(c).alias(f"__{c}") for c in columns])
+    what = ["match_date", *[f"__{c}" for c in columns]]
+    asked = left.select(*what).distinct().withColumn("match_id", F.struct(*what))
+    met = asked.join(some(key), reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in columns]))
+    met = met.where(valid_on(F.col("match_date"), F.col("valid_from"), F.col("valid_to")))
+    one = preferred(met.select("match_id", "match_date", F.lit(step).alias("step"), *_FOUND))
+    one = one.select(*[F.col("match_id")[w].alias(f"k{w}") for w in what], "step", *_FOUND, "n_candidates", "score")
+    on = reduce(lambda a, b: a & b, [F.col(w).eqNullSafe(F.col(f"k{w}")) for w in what])
+    return left.join(one, on).select("match_id", "match_date", "step", *_FOUND, "n_candidates", "score")
 
 
 def preferred(candidates: DataFrame) -> DataFrame:
@@ -65,9 +87,13 @@ def preferred(candidates: DataFrame) -> DataFrame:
 
 def exact(rows: DataFrame, key: DataFrame, steps=STEPS, first: int = 1, null_safe: bool = True) -> DataFrame:
     """The exact ladder: each entity's preferred candidate at its first step with any."""
-    all_ = reduce(DataFrame.unionByName, [_candidates(rows, key, c, first + i, null_safe) for i, c in enumerate(steps)])
+    all_ = reduce(DataFrame.unionByName, [_candidates(rows, key, c, first + i) for i, c in enumerate(steps)])
     lowest = all_.withColumn("__low", F.min("step").over(W.partitionBy("match_id"))).where("step = __low").drop("__low")
-    return preferred(lowest)
+    found = preferred(lowest)
+    if not null_safe:
+        return found
+    found = reduce(DataFrame.unionByName, [found, *[_unknown(rows, key, c, first + i) for i, c in enumerate(steps)]])
+    return found.withColumn("__low", F.min("step").over(W.partitionBy("match_id"))).where("step = __low").drop("__low")
 
 
 def collaboration_ladder(rows: DataFrame, key: DataFrame, null_safe: bool = True) -> DataFrame:
@@ -107,15 +133,17 @@ def accepted(candidates: DataFrame, threshold: float) -> DataFrame:
 
 
 def fuzzy(rows: DataFrame, key: DataFrame, passes=PASSES, id_: str = "problem") -> tuple[DataFrame, DataFrame]:
-    """(accepted match of each problem, its candidates of all passes up to that): a pass only sees problems that no pass before accepted."""
-    rows, key = settled(rows), settled(key)
-    found = settled(reduce(DataFrame.unionByName, [fuzzy_pass(rows, key, s, n, b, i + 1, id_) for i, (s, n, b, _) in enumerate(passes)]))
-    limit = F.element_at(F.array(*[F.lit(p[3]) for p in passes]), F.col("step"))
-    ok = found.where((F.col("rank") == 1) & (F.col("score") > limit) & (F.col("n_top_score_candidates") == 1))
-    first = ok.groupBy(id_).agg(F.min("step").alias("__until"))
-    best = ok.join(first, id_).where(F.col("step") == F.col("__until")).drop("__until")
-    seen = found.join(first, id_, "left").where(F.col("step") <= F.coalesce("__until", F.lit(len(passes)))).drop("__until")
-    return best, seen
+    """(accepted match of each problem, its candidates of all passes up to that): a pass only gets problems that no pass before accepted.
+
+    `pass` counts the passes from 1; `step` says what was compared, as the codes do."""
+    left, key = settled(rows), settled(key)
+    taken, seen = [], []
+    for i, (source, name, block, limit) in enumerate(passes):
+        found = settled(fuzzy_pass(left, key, source, name, block, FUZZY_STEPS[name], id_).withColumn("pass", F.lit(i + 1)))
+        taken.append(accepted(found, limit))
+        seen.append(found)
+        left = left.join(taken[-1].select(id_), id_, "left_anti")
+    return reduce(DataFrame.unionByName, taken), reduce(DataFrame.unionByName, seen)
 
 
 def merged(candidates: DataFrame, id_: str = "problem") -> DataFrame:
@@ -135,45 +163,3 @@ def wide(candidates: DataFrame, id_: str = "problem", values=("cvr", "registered
 def expanded(matches: DataFrame, members: DataFrame) -> DataFrame:
     """Matches of problems for each of their entities."""
     return members.join(matches, "problem").drop("problem")
-
-
-def status(df: DataFrame) -> DataFrame:
-    """`name_match_status`, `name_match_step_code` and review flags from the columns of `link`."""
-    method = F.col("match_method")
-    code = F.when(method == "exact", F.concat(F.lit("E"), F.col("match_step"))).when(method == "fuzzy", F.concat(F.lit("F"), F.col("match_step"))).otherwise("none")
-    unclear = (method == "exact") & (F.col("n_candidates") > 1)
-    state = F.when(unclear, "ambiguous exact").when(method == "exact", "exact").when(method == "fuzzy", "fuzzy").otherwise("unmatched")
-    return df.withColumns({"name_match_step_code": code, "name_match_status": state, "review_fuzzy": F.coalesce(method == "fuzzy", F.lit(False)), "review_ambiguous": F.coalesce(unclear, F.lit(False)), "review_unmatched": method.isNull()})
-
-
-def link(rows: DataFrame, key: DataFrame, null_safe: bool = True) -> DataFrame:
-    """The whole path for rows of `entities`: ladder, ladder without collaboration labels, fuzzy passes; all rows, labelled."""
-    rows, key = settled(rows), settled(key)  # read by each ladder and pass
-    plain = settled(exact(rows, key, null_safe=null_safe))
-    rest = rows.join(plain.select("match_id"), "match_id", "left_anti")
-    whole = settled(collaboration_ladder(rest, key, null_safe))
-    rest = settled(rest.join(whole.select("match_id"), "match_id", "left_anti"))
-    distinct, members = problems(rest)
-    best, _ = fuzzy(distinct, key)
-    near = expanded(best, members).select("match_id", "step", "cvr", "registered_name", "name_source", F.lit(1).cast("long").alias("n_candidates"), "score", F.lit("fuzzy").alias("match_method"))
-    same = plain.unionByName(whole).select("match_id", "step", "cvr", "registered_name", "name_source", "n_candidates", "score", F.lit("exact").alias("match_method"))
-    found = same.unionByName(near).withColumnRenamed("step", "match_step").withColumnRenamed("cvr", "matched_cvr")
-    return status(rows.select("match_id", "match_date", "entity_name").join(found, "match_id", "left"))
-
-
-def final_id(stated: Column, matched: Column, policy: str, fillable: Column | None = None) -> Column:
-    """The number of an entity: 'fill' keeps a stated one, 'match' takes the matched one, 'candidate' fills only rows marked fillable."""
-    if policy == "match":
-        return matched
-    gap = stated.isNull() | (stated == "")
-    return F.when(gap & (fillable if policy == "candidate" and fillable is not None else F.lit(True)), matched).otherwise(stated)
-
-
-def review(df: DataFrame) -> DataFrame:
-    """Rows that a person should look at."""
-    return df.where("review_fuzzy OR review_ambiguous OR review_unmatched")
-
-
-def with_context(matches: DataFrame, rows: DataFrame, columns: list[str], match_id: str = "match_id") -> DataFrame:
-    """Matches with columns of the rows that they are of."""
-    return matches.join(rows.select(match_id, *columns), match_id, "left")

@@ -23,23 +23,26 @@ def indicators(df: DataFrame, xml: str = "xml") -> DataFrame:
     new, old = x.rlike("<(?:\\w+:)?Contract(?:Award)?Notice[\\s>]"), x.rlike("<(?:\\w+:)?TED_EXPORT[\\s>]")
     bare = F.when(new | old, x)
     result = "//" + _local("NoticeResult")
-    tenders = F.array_distinct(_all(bare, f"{result}/{_local('LotTender', 'ID')}/text()"))
-    won = F.array_distinct(_all(bare, f"{result}/{_local('SettledContract', 'LotTender', 'ID')}/text()"))
-    received = _all(bare, "//" + _local("NB_TENDERS_RECEIVED") + "/text()")
-    lost = F.array_except(tenders, won)
-    n_new, n_old = F.size(tenders), F.try_element_at(F.transform(received, lambda r: r.try_cast("int")), F.lit(1))
-    winners = F.when(new, F.size(won)).when(old, F.size(F.split(x, "<(?:\\w+:)?CONTRACTOR[\\s>]")) - 1)
-    n = F.when(new, n_new).when(old, n_old)
-    return df.withColumns(
+    # each path is evaluated once: the arrays are columns before they are read several times
+    df = df.withColumns(
         {
+            "__tenders": F.array_distinct(_all(bare, f"{result}/{_local('LotTender', 'ID')}/text()")),
+            "__won": F.array_distinct(_all(bare, f"{result}/{_local('SettledContract', 'LotTender', 'ID')}/text()")),
+            "__received": _all(F.when(old, x), "//" + _local("NB_TENDERS_RECEIVED") + "/text()"),
             "schema": F.when(new, "eforms").when(old, "legacy"),
-            "n_tenders_received": n,
-            "n_winners": winners,
-            "had_non_winners": F.when(new | old, n > winners),
-            "non_winners_listed": F.when(new, F.size(lost) > 0).when(old, F.lit(False)),
-            "n_non_winners_named": F.when(new, F.size(lost)).when(old, F.lit(0)),
         }
     )
+    new, old = F.col("schema") == "eforms", F.col("schema") == "legacy"
+    df = df.withColumn("__lost", F.size(F.array_except("__tenders", "__won")))
+    n_old = F.try_element_at(F.transform("__received", lambda r: r.try_cast("int")), F.lit(1))
+    df = df.withColumns({"n_tenders_received": F.when(new, F.size("__tenders")).when(old, n_old), "n_winners": F.when(new, F.size("__won")).when(old, F.size(F.split(x, "<(?:\\w+:)?CONTRACTOR[\\s>]")) - 1)})
+    return df.withColumns(
+        {
+            "had_non_winners": F.when(new | old, F.col("n_tenders_received") > F.col("n_winners")),
+            "non_winners_listed": F.when(new, F.col("__lost") > 0).when(old, F.lit(False)),
+            "n_non_winners_named": F.when(new, F.col("__lost")).when(old, F.lit(0)),
+        }
+    ).drop("__tenders", "__won", "__received", "__lost")
 
 
 def bids(df: DataFrame, xml: str = "xml", key: str = "notice_id") -> DataFrame:

@@ -12,11 +12,12 @@ from procurelake.operators.tables import first_present
 PERIOD = "struct<gyldigFra:string,gyldigTil:string>"
 COUNTS = ("antalAnsatte", "antalAarsvaerk", "antalInklusivEjere")
 BANDS = ("intervalKodeAntalAnsatte", "intervalKodeAntalAarsvaerk", "intervalKodeAntalInklusivEjere")
+INDUSTRIES = ", ".join(f"{c} array<struct<branchekode:string,branchetekst:string,periode:{PERIOD}>>" for c in ("hovedbranche", "bibranche1", "bibranche2", "bibranche3"))
 _EMPLOYMENT = "array<struct<aar:int,kvartal:int,maaned:int," + ",".join([f"{c}:double" for c in COUNTS] + [f"{c}:string" for c in BANDS]) + ",sidstOpdateret:string>>"
 #: The parts of a company document that are read.
 COMPANY = f"""cvrNummer bigint, navne array<struct<navn:string,periode:{PERIOD}>>, binavne array<struct<navn:string,periode:{PERIOD}>>,
 livsforloeb array<struct<periode:{PERIOD}>>, virksomhedsstatus array<struct<status:string,periode:{PERIOD}>>,
-virksomhedsform array<struct<kortBeskrivelse:string,periode:{PERIOD}>>, hovedbranche array<struct<branchekode:string,branchetekst:string,periode:{PERIOD}>>,
+virksomhedsform array<struct<kortBeskrivelse:string,periode:{PERIOD}>>, {INDUSTRIES},
 attributter array<struct<type:string,vaerdier:array<struct<vaerdi:string,periode:{PERIOD}>>>>,
 aarsbeskaeftigelse {_EMPLOYMENT}, kvartalsbeskaeftigelse {_EMPLOYMENT}, maanedsbeskaeftigelse {_EMPLOYMENT}"""
 UNIT = f"pNummer bigint, virksomhedsrelation array<struct<cvrNummer:bigint,periode:{PERIOD}>>, erstMaanedsbeskaeftigelse {_EMPLOYMENT}"
@@ -76,14 +77,19 @@ def history(df: DataFrame) -> DataFrame:
     args = (F.col("frequency"), F.col("year"), F.col("quarter"), F.col("month"))
     rows = rows.withColumns({"period_start": period_start(*args), "period_end": period_end(*args)})
     at = F.col("period_end")
-    share = F.get(F.filter(c["attributter"], lambda a: a["type"] == "KAPITAL"), F.lit(0))["vaerdier"]
+    attribute = lambda kind: as_of(F.get(F.filter(c["attributter"], lambda a: a["type"] == kind), F.lit(0))["vaerdier"], at)["vaerdi"]
+    alive = any_overlaps(c["livsforloeb"], F.col("period_start"), at)
     context = {
-        "status": as_of(c["virksomhedsstatus"], at)["status"],
+        # companies of some forms state no status: they are active while they live
+        "status": F.coalesce(as_of(c["virksomhedsstatus"], at)["status"], F.when(alive, F.lit("AKTIV"))),
         "legal_form": as_of(c["virksomhedsform"], at)["kortBeskrivelse"],
-        "industry_code": as_of(c["hovedbranche"], at)["branchekode"],
-        "capital": as_of(share, at)["vaerdi"],
-        "alive": any_overlaps(c["livsforloeb"], F.col("period_start"), at),
+        "capital": attribute("KAPITAL"),
+        "capital_currency": attribute("KAPITALVALUTA"),
+        "alive": alive,
     }
+    for i, f in enumerate(("hovedbranche", "bibranche1", "bibranche2", "bibranche3")):
+        kind = as_of(c[f], at)
+        context |= {"industry_code" if not i else f"industry_code_{i + 1}": kind["branchekode"], "industry_text" if not i else f"industry_text_{i + 1}": kind["branchetekst"]}
     return rows.withColumns(context).drop("company").withColumn("data_source", F.lit("historical"))
 
 
@@ -152,3 +158,32 @@ def inside_sample(df: DataFrame, period: str, at: str, window: int) -> DataFrame
     """Events whose whole window lies within the panel's periods."""
     ends = df.agg(F.min(period).alias("__low"), F.max(period).alias("__high"))
     return df.crossJoin(F.broadcast(ends)).where((F.col(at) - window >= F.col("__low")) & (F.col(at) + window <= F.col("__high"))).drop("__low", "__high")
+
+
+def greatest_text(c: Column) -> Column:
+    """The greatest text that isn't empty; null without one."""
+    return F.max(F.nullif(c, F.lit("")))
+
+
+def derived_source(c: Column) -> Column:
+    """What monthly rows of some sources make: of one source, or spliced; null without any."""
+    kinds = F.collect_set(F.nullif(c, F.lit("")))
+    return F.when(F.size(kinds) == 0, None).when(kinds == F.array(F.lit("historical")), "derived_historical_monthly").when(kinds == F.array(F.lit("new")), "derived_new_monthly").otherwise("derived_spliced_monthly")
+
+
+def run_status(keys: DataFrame, rows: DataFrame, units: DataFrame, key: str, **counted: Column) -> DataFrame:
+    """For each key whether it was found, its rows, those of some kinds, and its distinct units; 0 where there are none."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("employment_rows"), *[F.sum(c.cast("int")).alias(k) for k, c in counted.items()])
+    u = units.groupBy(key).agg(F.countDistinct("unit").alias("production_units_returned"))
+    out = keys.select(key).distinct().join(n, key, "left").join(u, key, "left")
+    found = {"found": F.col("employment_rows").isNotNull(), "found_in_units": F.col("production_units_returned").isNotNull()}
+    return out.withColumns(found).na.fill(0, ["employment_rows", *counted, "production_units_returned"])
+
+
+def overlapping(df: DataFrame, found: DataFrame, unit: str, period: str, at: str, event: str, window: int, value: str) -> DataFrame:
+    """Balanced windows of all events, near others or not: rows of units within `window` periods of an event whose whole
+    window the panel covers, where the unit has a positive value in every period of it."""
+    ends = df.agg(F.min(period).alias("__low"), F.max(period).alias("__high"))
+    inside = found.crossJoin(F.broadcast(ends)).where((F.col(at) - window >= F.col("__low")) & (F.col(at) + window <= F.col("__high"))).drop("__low", "__high")
+    met = df.join(inside, unit).withColumn("event_time", F.col(period) - F.col(at))
+    return balanced(met, [unit, event], "event_time", -window, window, value)

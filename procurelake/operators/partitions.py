@@ -53,13 +53,11 @@ def split_name(name: str | None, most: int = MAX_BOUNDARIES) -> dict:
     out |= {"working_name": work, "n_boundaries": len(cuts), "too_many_delimiters": len(cuts) > most}
     if not cuts or len(cuts) > most:
         return out
-    # a choice says of each boundary, the last first, whether to cut there; its number read in binary is the code
-    for choice in itertools.product((1, 0), repeat=len(cuts)):
-        used = [c for c, cut in zip(cuts, reversed(choice)) if cut]
-        edges = [0, *itertools.chain(*used), len(work)]
+    # codes count down; bit i of a code says whether to cut at boundary i
+    for code in range(2 ** len(cuts) - 1, 0, -1):
+        edges = [0, *itertools.chain.from_iterable(cut for i, cut in enumerate(cuts) if code >> i & 1), len(work)]
         segments = [work[a:b].strip() for a, b in zip(edges[::2], edges[1::2])]
-        if used and all(segments):
-            code = sum(bit << i for i, bit in enumerate(reversed(choice)))
+        if all(segments):
             out["partitions"].append({"partition_id": len(out["partitions"]) + 1, "partition_code": code, "partition_text": "; ".join(segments), "segments": segments})
     return out
 
@@ -106,6 +104,6 @@ def searched(rows: DataFrame, key: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def replaced(rows: DataFrame, parts: DataFrame, id_: str = "match_id") -> DataFrame:
-    """Rows with an accepted partition replaced by a row for each of its firms; others as they are."""
-    firm = parts.select(id_, F.col("segment").alias("expanded_number"), F.col("segment_text").alias("expanded_name"), F.col("segment_cvr").alias("expanded_cvr"))
+    """Rows with an accepted partition replaced by a row for each of its firms, numbered from 1; others as they are."""
+    firm = parts.select(id_, (F.col("segment") + 1).alias("expanded_number"), F.col("segment_text").alias("expanded_name"), F.col("segment_cvr").alias("expanded_cvr"), F.col("segment_step").alias("expanded_step"))
     return rows.join(firm, id_, "left").withColumn("flag_expanded", F.col("expanded_cvr").isNotNull())

@@ -126,10 +126,23 @@ def borrowed(df: DataFrame, name: str, number: str, valid: str, row: str, *, sta
     return met.withColumns({number: F.when(gap, F.col("__number")).otherwise(F.col(number)), "flag_borrowed": gap, "borrowed_from": F.when(gap, F.col("borrowed_from"))}).drop("__number").select(*df.columns, "flag_borrowed", "borrowed_from")
 
 
-def refreshed(df: DataFrame, attributes: DataFrame, keys: list[str]) -> DataFrame:
-    """df with attributes of a table replaced by their new values; df's rows stay as many."""
-    new = [c for c in attributes.columns if c not in keys]
-    return df.drop(*new).join(attributes.dropDuplicates(keys), keys, "left")
+class DuplicateKeys(ValueError):
+    """A table of attributes has several rows for a key."""
+
+
+def refreshed(df: DataFrame, attributes: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """df with attributes of a table (all, or some columns) replaced by their new values; df's rows stay as many, and several rows of a key are an error."""
+    new = [c for c in (columns or attributes.columns) if c not in keys]
+    twice = attributes.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise DuplicateKeys(f"several rows for {twice[0].asDict()}")
+    return df.drop(*new).join(attributes.select(*keys, *new), keys, "left")
+
+
+def looked_up(df: DataFrame, register: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """df with where each (name, number) comes from: the sorted values that a register has for it, joined."""
+    own = register.groupBy(*keys).agg(*[joined_values(F.col(c)).alias(c) for c in columns])
+    return df.join(own, keys, "left")
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:

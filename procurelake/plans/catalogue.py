@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procurelake.functions import cpv, ids, names, scalars
-from procurelake.operators import checks, explode, match, notices, panel, partitions, stats, tables
+from procurelake.operators import checks, explode, match, notices, panel, stats, tables
 from procurelake.plans import reports
 
 QUERIES: dict = {}
@@ -152,22 +152,6 @@ def fuzzy_top5(spark, sf_dir):
     return out.select(F.col("problem.name_clean").alias("name"), F.col("problem.firm_type").alias("firm_type"), "cvr", _r(F.col("score")).alias("score"), "rank", F.col("n_top_score_candidates").alias("n_top"))
 
 
-@query("linked_entities")
-def linked_entities(spark, sf_dir):
-    return match.link(_entities(spark, sf_dir), _key(spark, sf_dir))
-
-
-@query("link_status")
-def link_status(spark, sf_dir):
-    return reports.method_shares(linked_entities(spark, sf_dir).withColumnRenamed("name_match_status", "status"), "status", ["exact", "ambiguous exact", "fuzzy", "unmatched"])
-
-
-@query("name_partitions")
-def name_partitions(spark, sf_dir):
-    df = source(spark, sf_dir, "asked").withColumn("name", F.concat("name", F.lit(" og Firma "), "id", F.lit(" A/S, Byg ApS")))
-    return partitions.partitioned(df, "name").select("id", F.col("split.n_boundaries").alias("n_boundaries"), F.size("split.partitions").alias("n_partitions"))
-
-
 # lists, amounts, windows
 
 _TAX = "concat_ws(';', CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_custkey AS STRING) END, CAST(o_orderkey % 10 AS STRING))"
@@ -179,10 +163,17 @@ def parallel_lists(spark, sf_dir):
     return explode.parallel(df, ["a", "b"], "a", "number").select("id", "number", "a", "b", "max_detected")
 
 
-@query("cpv_codes", "WITH c AS (SELECT p_partkey AS id, lpad(CAST(p_partkey * 48611 % 100000000 AS VARCHAR), 8, '0') AS code FROM part) SELECT id, code AS cpv_code_first, code[1:2] AS cpv_division, CASE WHEN code[1:2] IN ('45', '44', '43', '71') THEN 'Construction & engineering' WHEN code[1:2] IN ('60', '61', '62', '63', '34', '64') THEN 'Transport & logistics' WHEN code[1:2] IN ('33', '85', '24') THEN 'Health, medical & pharma' WHEN code[1:2] IN ('48', '72', '73', '74', '79', '66', '67', '70', '75', '78') THEN 'ICT & professional services' WHEN code[1:2] IN ('90', '50', '51', '65', '41') THEN 'Environmental & facilities services' WHEN code[1:2] IN ('15', '55', '52', '03', '77', '16', '01', '02', '05') THEN 'Food, hospitality & agriculture' WHEN code[1:2] IN ('80', '92', '98', '91', '93', '95', '99') THEN 'Education, culture & other public services' ELSE 'Other manufacturing & goods' END AS cpv_sector, CASE WHEN code[1:2] = '45' THEN 'Works' WHEN CAST(code[1:2] AS INTEGER) >= 50 THEN 'Services' ELSE 'Supplies' END AS cpv_category FROM c")
+def _cpv_sql(code: str) -> str:
+    d = f"{code}[1:2]"
+    sector = " ".join(f"WHEN {d} IN ({', '.join(repr(x) for x in ds)}) THEN '{s}'" for s, ds in cpv.SECTORS.items())
+    name = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in (cpv.DIVISIONS_2003 | cpv.DIVISIONS_2008).items())
+    return f"{code} AS cpv_code_first, {d} AS cpv_division, CASE {d} {name} END AS cpv_division_name, CASE {sector} ELSE '{cpv.REST}' END AS cpv_sector, CASE WHEN {d} = '45' THEN 'Works' WHEN CAST({d} AS INTEGER) >= 50 THEN 'Services' ELSE 'Supplies' END AS cpv_category"
+
+
+@query("cpv_codes", "WITH c AS (SELECT p_partkey AS id, lpad(CAST(p_partkey * 48611 % 100000000 AS VARCHAR), 8, '0') AS code FROM part) SELECT id, " + _cpv_sql("code") + " FROM c")
 def cpv_codes(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "concat(CAST(p_partkey * 48611 % 100000000 AS STRING), ' - IA01; 45000000') AS raw")
-    return df.select("id", *[c.alias(k) for k, c in cpv.cleaned(F.col("raw")).items() if k != "cpv_division_name"])
+    return df.select("id", *[c.alias(k) for k, c in cpv.cleaned(F.col("raw")).items()])
 
 
 @query("even_split", with_("lots") + "SELECT tender, lot, round(CASE WHEN count(lot_amount) OVER w = 0 THEN tender_amount / (SELECT count(DISTINCT x.lot) FROM lots x WHERE x.tender = l.tender) ELSE lot_amount END, 4) AS lot_amount FROM lots l WINDOW w AS (PARTITION BY tender)")
@@ -339,10 +330,24 @@ def expectations(spark, sf_dir):
 _NOTICE = "concat('<ContractAwardNotice xmlns:efac=\"e\" xmlns:cbc=\"c\"><efac:NoticeResult>', '<efac:LotTender><cbc:ID>T1</cbc:ID></efac:LotTender>', CASE WHEN o_orderkey % 2 = 0 THEN '<efac:LotTender><cbc:ID>T2</cbc:ID></efac:LotTender>' ELSE '' END, '<efac:SettledContract><efac:LotTender><cbc:ID>T1</cbc:ID></efac:LotTender></efac:SettledContract></efac:NoticeResult></ContractAwardNotice>')"
 
 
-@query("notice_indicators", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'eforms' END AS schema, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END END AS n_tenders_received, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1 END AS n_winners, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS had_non_winners FROM orders")
+_OLD = "concat('<TED_EXPORT><NB_TENDERS_RECEIVED>', CAST(o_orderkey % 4 AS STRING), '</NB_TENDERS_RECEIVED><CONTRACTOR><N>x</N></CONTRACTOR>', CASE WHEN o_orderkey % 3 = 0 THEN '<CONTRACTOR><N>y</N></CONTRACTOR>' ELSE '' END, '</TED_EXPORT>')"
+_TOLD = "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN {1} ELSE {0} END"
+_TWO = "CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END"
+_CONTRACTORS = "CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END"
+
+
+@query("notice_indicators", f"SELECT o_orderkey AS id, {_TOLD.format(repr('eforms'), repr('legacy'))} AS schema, {_TOLD.format(_TWO, 'o_orderkey % 4')} AS n_tenders_received, {_TOLD.format('1', _CONTRACTORS)} AS n_winners, {_TOLD.format('o_orderkey % 2 = 0', f'o_orderkey % 4 > {_CONTRACTORS}')} AS had_non_winners, {_TOLD.format('o_orderkey % 2 = 0', 'false')} AS non_winners_listed, {_TOLD.format('1 - o_orderkey % 2', '0')} AS n_non_winners_named FROM orders")
 def notice_indicators(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS id", f"CASE WHEN o_orderkey % 5 = 0 THEN 'none' ELSE {_NOTICE} END AS xml")
-    return notices.indicators(df).select("id", "schema", "n_tenders_received", "n_winners", "had_non_winners")
+    return notices.indicators(_notices(spark, sf_dir)).select("id", "schema", "n_tenders_received", "n_winners", "had_non_winners", "non_winners_listed", "n_non_winners_named")
+
+
+def _notices(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS id", "o_orderdate AS day", f"CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN {_OLD} ELSE {_NOTICE} END AS xml")
+
+
+@query("notice_diagnostics", f"SELECT CAST(year(o_orderdate) AS INTEGER) AS year, {_TOLD.format(repr('eforms'), repr('legacy'))} AS schema, {_TOLD.format('o_orderkey % 2 = 0', f'o_orderkey % 4 > {_CONTRACTORS}')} AS had_non_winners, count(*) AS n FROM orders GROUP BY ALL")
+def notice_diagnostics(spark, sf_dir):
+    return notices.diagnostics(notices.indicators(_notices(spark, sf_dir)).withColumn("year", F.year("day")), ["year", "schema", "had_non_winners"])
 
 
 @query("json_values", "SELECT event_id AS id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events")
@@ -357,7 +362,7 @@ def notice_numbers(spark, sf_dir):
 
 
 def queries() -> dict:
-    from procurelake.plans import more  # noqa: F401  registers its queries
+    from procurelake.plans import cleaning, linking, more, studies  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 

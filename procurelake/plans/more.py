@@ -156,12 +156,3 @@ def overview(spark, sf_dir):
 @query("correlation", with_("lots") + "SELECT round(corr(lot_amount, tender_amount), 6) AS r FROM lots")
 def correlation(spark, sf_dir):
     return stats.correlation(source(spark, sf_dir, "lots"), "lot_amount", "tender_amount").select(_r(F.col("r"), 6).alias("r"))
-
-
-@query("event_study")
-def event_study(spark, sf_dir):
-    df = source(spark, sf_dir, "awards").withColumn("year", F.year("day"))
-    first = df.groupBy("firm").agg(F.min("year").alias("first"))
-    years = panel.event_panel(df.groupBy("firm", "year").agg(F.sum("amount").alias("y")), first, "firm", "year", "first", 2)
-    rows = stats.fixed_effects(years, "y", "event_bin", 0, ["firm"], "firm")
-    return spark.createDataFrame([(r["time"], r["estimate"], r["error"], r["n"]) for r in rows], "event_bin int, estimate double, error double, n long")

@@ -158,3 +158,37 @@ def country_means(df: DataFrame, year: str, country: str, value: str) -> DataFra
     """Means by country of the rows for the mean of all years, and their average."""
     own = df.where(F.col(year) == "Mean").select(country, F.col(value).try_cast("double").alias("mean_value"))
     return own.withColumn("all_countries", F.avg("mean_value").over(W.partitionBy()))
+
+
+def lots_by_year(df: DataFrame, by: list[str], day: str) -> DataFrame:
+    """Lots of each group by the year of a date."""
+    return df.where(F.col(day).isNotNull()).groupBy(*by, F.year(day).alias("year")).agg(F.count(F.lit(1)).alias("n_lots"))
+
+
+def review_reasons(df: DataFrame, method: str = "match_method", candidates: str = "n_candidates") -> DataFrame:
+    """Candidates that a person should look at, by the reason, with their share of all candidates."""
+    found = F.col(method).isNotNull()
+    named = {"Fuzzy match": F.col(method) == "fuzzy", "Ambiguous exact match": (F.col(method) == "exact") & (F.col(candidates) > 1), "No automatic match": ~found}
+    return cleaning_summary(df, F.lit(True), **named).withColumnRenamed("measure", "reason")
+
+
+def split_results(df: DataFrame, row: str, eligible: str, expanded: str) -> DataFrame:
+    """(measure, n, share, share_of) of the split of names: rows eligible, rows split, and firm rows that this made."""
+    distinct = lambda c: F.countDistinct(F.when(F.col(c), F.col(row)))
+    one = df.agg(distinct(eligible).alias("eligible"), distinct(expanded).alias("split"), F.sum(F.col(expanded).cast("long")).alias("firms"), F.countDistinct(row).alias("rows"), F.count(F.lit(1)).alias("all"))
+    kinds = (("rows eligible for the split", "eligible", "rows", "candidates"), ("rows with one accepted split", "split", "eligible", "eligible rows"), ("firm rows of accepted splits", "firms", "all", "output rows"))
+    made = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(a).alias("n"), (F.col(a) / F.col(b)).alias("share"), F.lit(of).alias("share_of")) for m, a, b, of in kinds])
+    return one.select(F.explode(made).alias("m")).select("m.*")
+
+
+def failure_source(concordance: DataFrame, key: str) -> DataFrame:
+    """For keys with a pair that isn't found: pairs found or not, by whether the key has any that is."""
+    w = W.partitionBy(key)
+    df = concordance.withColumns({"__lost": F.max((~F.col("same_name")).cast("int")).over(w)}).where("__lost = 1")
+    return df.groupBy("same_name", "any_same_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distribution(df: DataFrame, by: list[str], unit: str, thing: str, name: str = "n_things") -> DataFrame:
+    """How many units of each group have how many distinct things."""
+    per = df.where(F.col(unit).isNotNull()).groupBy(*by, unit).agg(F.countDistinct(thing).alias(name))
+    return per.groupBy(*by, name).agg(F.count(F.lit(1)).alias("n_units"))

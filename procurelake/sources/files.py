@@ -68,8 +68,20 @@ def register_names(spark: SparkSession, path: str, name: str = "name", encoding:
     return raw.select(F.lpad("cvr", 8, "0").alias("cvr"), F.col(name).alias("name"), day("gyldigfra").alias("valid_from"), day("gyldigtil").alias("valid_to"))
 
 
-def typed(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, **options)
+def typed(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, **options) -> DataFrame:
+    """A delimited file with types. `columns`: those to read, in any encoding given."""
+    df = spark.read.schema(schema).csv(path, header=True, **options)
+    return df.select(*columns) if columns else df
+
+
+def chunked(tables: dict[str, DataFrame], path: str, chunk: str) -> dict[str, DataFrame]:
+    """Tables of a run by chunks, each written by chunk under `path`; chunks that are written anew replace themselves only."""
+    spark = next(iter(tables.values())).sparkSession
+    out = {}
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).parquet(f"{path}/{name}")
+        out[name] = spark.read.parquet(f"{path}/{name}")
+    return out
 
 
 def save(df: DataFrame, path: str, *, refuse: bool = False) -> DataFrame:
@@ -88,11 +100,13 @@ def replace_in_place(spark: SparkSession, path: str, change) -> DataFrame:
     side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     change(spark.read.parquet(path)).write.parquet(side)
     jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(side)
+    old, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, side, f"{side}.old"))
     fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{side} could not be renamed to {path}")
+    # the old table goes last: at any time one of the two is whole
+    for a, b in ((old, aside), (new, old)):
+        if not fs.rename(a, b):
+            raise OSError(f"{a} could not be renamed to {b}")
+    fs.delete(aside, True)
     return spark.read.parquet(path)
 
 

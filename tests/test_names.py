@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procurelake.functions import cpv, ids, names, scalars
-from procurelake.operators import explode, match, partitions
+from procurelake.operators import explode, linking, match, partitions
 
 
 def one(spark, value, *columns, schema="x string"):
@@ -68,10 +68,23 @@ def key(spark, rows):
 
 
 def test_link(spark):
-    k = key(spark, [("Alpha Byg A/S", "1", None, None), ("Beta Data ApS", "2", None, None), ("Gamma Vej A/S", "3", dt.date(2025, 1, 1), None), ("Delta Transport A/S", "4", None, None)])
-    rows = spark.createDataFrame([(1, "ALPHA BYG A/S", dt.date(2020, 1, 1)), (2, "Beta-Data", None), (3, "Gamma Vej A/S", dt.date(2020, 1, 1)), (4, "Delta Tranport A/S", None), (5, "Konsortiet Alpha Byg A/S", None), (6, "unlike anything", None)], "id int, name string, d date")
-    got = {r.match_id: (r.matched_cvr, r.name_match_step_code) for r in match.link(match.entities(rows, "name", "id", "d"), k).collect()}
-    assert got == {1: ("1", "E1"), 2: ("2", "E3"), 3: (None, "none"), 4: ("4", "F1"), 5: ("1", "E5"), 6: (None, "none")}
+    k = key(spark, [("Alpha Byg A/S", "1", None, None), ("Beta Data ApS", "2", None, None), ("Gamma Vej A/S", "3", dt.date(2025, 1, 1), None), ("Delta Transport A/S", "4", None, None), ("Alpha Byg", "8", None, None)])
+    named = [(1, "ALPHA BYG A/S", dt.date(2020, 1, 1)), (2, "Beta-Data", None), (3, "Gamma Vej A/S", dt.date(2020, 1, 1)), (4, "Delta Tranport A/S", None), (5, "Konsortiet Alpha Byg A/S", None), (6, "unlike anything", None), (7, "Beta Data ApS og Delta Transport A/S", None), (8, None, None), (9, "og co", dt.date(2020, 1, 1))]
+    rows = match.entities(spark.createDataFrame(named, "id int, name string, d date"), "name", "id", "d")
+    out = linking.link(rows, k)
+    got = {(r.match_id, r.expanded_number): (r.matched_cvr, r.name_match_step_code) for r in linking.codes(out, "european").collect()}
+    no = "matching candidate: no match found"
+    assert got == {(1, None): ("1", "exact: basic name and firm type"), (2, None): ("2", "exact: no spaces"), (3, None): (None, no), (4, None): ("4", "fuzzy: prepared main name"), (5, None): ("1", "exact consortium removed: basic name and firm type"), (6, None): (None, no), (7, 1): ("2", "exact partition: basic name and firm type"), (7, 2): ("4", "exact partition: basic name and firm type"), (8, None): (None, no), (9, None): (None, no)}
+    assert linking.link(rows.limit(0), k).count() == 0
+
+
+def test_unknown_forms_match_each_other(spark):
+    """Names of stop words only have no broad form; with null_safe such rows meet such keys, by dates."""
+    k = key(spark, [("Holding og Co", "1", dt.date(2019, 1, 1), None), ("Nordic Group", "2", None, None), ("Alpha", "3", None, None)])
+    rows = match.entities(spark.createDataFrame([(i, "Data Invest", dt.date(2020, 1, 1)) for i in range(5)] + [(9, "Data Invest", dt.date(2001, 1, 1))], "id int, name string, d date"), "name", "id", "d")
+    got = {r.match_id: (r.cvr, r.n_candidates, r.step) for r in match.exact(rows, k).collect()}
+    assert got == {i: ("1", 2, 4) for i in range(5)} | {9: ("2", 1, 4)}
+    assert match.exact(rows, k, null_safe=False).count() == 0
 
 
 def test_partition_search(spark):
@@ -90,3 +103,8 @@ def test_wide(spark):
     assert best.first().cvr == "1"
     r = match.wide(match.merged(seen)).first()
     assert (r.cvr_1, r.cvr_2, r.cvr_3, r.cvr_4) == ("1", "2", "3", None)
+
+
+def test_forms_leave_a_blank(spark):
+    r = one(spark, "x-a/s-y", *[c.alias(k) for k, c in names.prepared(F.col("x")).items()])
+    assert (r.name_basic, r.firm_type) == ("x- -y", "a/s")

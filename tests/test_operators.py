@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from procurelake.operators import checks, explode, match, notices, panel, stats, tables
+from procurelake.operators import checks, cleaning, explode, match, notices, panel, stats, tables
 from procurelake.plans import reports
 from procurelake.sources import files, register, workbook
 from procurelake.streaming import incremental
@@ -116,6 +116,61 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 4
 
 
+def test_more_files(spark, tmp_path):
+    d = tmp_path / "keys"
+    d.mkdir()
+    (d / "cvr_names_virk_20200101_000000.csv").write_text("cvr,name,gyldigfra,gyldigtil,more\n123,Æ,2019-01-02T00:00:00,,x\n", encoding="latin-1")
+    found = files.newest(spark, str(d), r"^cvr_names_virk_[0-9]{8}_[0-9]{6}\.csv$")
+    r = files.register_names(spark, found, encoding="ISO-8859-1").first()
+    assert (r.cvr, r.name, str(r.valid_from), r.valid_to) == ("00000123", "Æ", "2019-01-02", None)
+    with pytest.raises(FileNotFoundError):
+        files.newest(spark, str(d), "^none$")
+    assert files.typed(spark, found, "cvr int, name string, a string, b string, more string", ["cvr", "more"]).collect() == [(123, "x")]
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "chunk int, v string")
+    path = str(tmp_path / "chunks")
+    files.chunked({"summary": rows, "named": rows}, path, "chunk")
+    again = files.chunked({"summary": rows.where("chunk = 2").withColumn("v", F.lit("c"))}, path, "chunk")["summary"]
+    assert sorted((r.chunk, r.v) for r in again.collect()) == [(1, "a"), (2, "c")]
+
+
+def test_swap_keeps_a_whole_table(spark, tmp_path):
+    out = str(tmp_path / "t")
+    files.save(spark.range(3).toDF("id"), out)
+    with pytest.raises(Exception):
+        files.replace_in_place(spark, out, lambda t: t.selectExpr("assert_true(id < 0) AS x"))
+    assert spark.read.parquet(out).count() == 3
+    files.replace_in_place(spark, out, lambda t: t.where("id > 0"))
+    assert spark.read.parquet(out).count() == 2 and not [p for p in tmp_path.iterdir() if p.name.endswith(".old")]
+
+
+def test_refreshed_refuses_several_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    with pytest.raises(tables.DuplicateKeys):
+        tables.refreshed(df, df.union(df), ["k"])
+    assert tables.refreshed(df, df.limit(0), ["k"]).where("v IS NULL").count() == 2
+
+
+def test_cleaning_edges(spark):
+    raw = spark.createDataFrame([("1", None, None)], "`Løbenummer` string, `Nummerplade` string, id string").withColumns({c: F.lit(None).cast("string") for c in cleaning.NATIONAL if c not in ("Løbenummer", "Nummerplade")})
+    out = cleaning.national(raw)
+    assert out.columns[:2] == ["tender_id", "lot_id"] and "id" in out.columns and out.first().flag_awarded is False
+    assert cleaning.national(raw.limit(0)).count() == 0
+    wrong = spark.createDataFrame([("a", 1.2), ("a", None), ("a", 2.0), ("b", 1.0)], "tender_id string, lot_amount double")
+    assert [tuple(r) for r in cleaning.without_errors(wrong, ({"tender_id": "a", "lot_amount": 1},)).collect()] == [("a", 2.0), ("b", 1.0)]
+    left = spark.createDataFrame([(None, "L", "x"), ("1", "M", "y")], "tender_id string, lot_id string, v string")
+    lots = spark.createDataFrame([(None, "L", "p", 1)], "tender_id string, lot_id string, v string, n int")
+    assert sorted(((r.v, r.v_original, r.n) for r in cleaning.with_lot(left, lots).collect()), key=str) == [("x", "p", 1), ("y", None, None)]
+
+
+def test_two_absorbed_effects(spark):
+    r = np.random.default_rng(1)
+    rows = [(f, t, f % 4, float(f + 3 * t + (2.0 if t > 1 and f % 2 else 0) + r.normal())) for f in range(24) for t in range(4) if r.random() < 0.9]
+    df = spark.createDataFrame(rows, "firm int, t int, g int, y double").withColumn("d", ((F.col("t") > 1) & (F.col("firm") % 2 == 1)).cast("int"))
+    got = stats.studies(df, ["y"], "d", 0, ["firm", "t"], "firm").first()
+    x = np.array([[t > 1 and f % 2, *(f == k for k in range(24)), *(t == k for k in range(3))] for f, t, _, _ in rows], float)
+    assert got.estimate == pytest.approx(np.linalg.lstsq(x, np.array([v for *_, v in rows]), rcond=None)[0][0], abs=1e-4)
+
+
 def test_workbook(spark, tmp_path):
     path = tmp_path / "b.xlsx"
     with zipfile.ZipFile(path, "w") as z:
