@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ ARROW_ROWS = "1024"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches, and give a checkpoint folder where the session names none (as in tests)."""
+    """Bound Arrow batches, and give a checkpoint folder where a local session names none (as in tests)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return spark
 
