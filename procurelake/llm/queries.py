@@ -135,7 +135,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from procurelake.llm import edits
 
-    return edits.with_next(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return edits.with_next(docs, grouped=edits.groups(docs))
 
 
 OP9_SQL = r"""
