@@ -99,8 +99,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from procurelake.llm import quality
 
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    return quality.judged(docs.drop("lang"), quality.references(docs)).drop("text")
+    return quality.judged_by_itself(documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("lang")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
