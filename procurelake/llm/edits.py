@@ -252,7 +252,7 @@ def with_next(df: DataFrame, key: str = "doc_id", column: str = "text", grouped:
     dealt = dealt.select("id", "text", "k", F.shiftright("p", 1).alias("b"), F.col("p").bitwiseAND(F.lit(1)).alias("look"), *[F.lit(None).cast(t).alias(c) for c, t in (("f", "binary"), ("class_id", "long"), ("group_id", "long"))])
     if grouped is not None:
         # rows that are a group of their own need no telling
-        told = grouped.where(~F.col("class_id").eqNullSafe(F.col("key")) | ~F.col("group_id").eqNullSafe(F.col("key"))).select("key", "f", "class_id", "group_id").distinct()
+        told = grouped.where(~F.col("class_id").eqNullSafe(F.col("key")) | ~F.col("group_id").eqNullSafe(F.col("key"))).select("key", "f", "class_id", "group_id")
         told = told.select(F.col("key").cast("long").alias("id"), F.lit("").alias("text"), place(F.col("key")).alias("k"), "f", F.col("class_id").cast("long"), F.col("group_id").cast("long"))
         told = told.withColumns({"b": F.shiftright(F.get(_bucket(ends)(F.col("k")), F.lit(0)), 1), "look": F.lit(-1)})
         dealt = dealt.unionByName(told)
