@@ -10,11 +10,12 @@ from array import array
 import numpy as np
 import regex
 
-#: Words, and pieces of words, that each of two generations of a worker's memory holds; longer words are not remembered.
+#: Words and pieces of words that each of two generations of a worker's memory holds; longer ones are not remembered.
 REMEMBERED, LONGEST = 350_000, 64
 #: Below this, normal form C and lower case are the same wherever they are computed; İ (U+0130) aside.
 PLAIN = "ɐ"
 _ODD = re.compile("[\x1c-\x1f]")
+_FAR = re.compile(f"[{PLAIN}-\U0010ffffİ]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,16 +26,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes each white-space-delimited word once and joins the ids.
+    """Encodes each piece of a word once and joins the ids.
 
-    Exact, as normalising, splitting and merging stay within words. Words of plain characters are
-    lowered and split here and only merged by the library; other words go through all of it."""
+    Exact, as normalising, splitting and merging stay within words. Texts of plain characters are lowered
+    and split here and only merged by the library; words of others go through all of it. A lowered word
+    and itself have the same ids, so one memory serves both."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -43,58 +47,51 @@ class WordEncoder:
         if self.plain:
             self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.pieces_before: dict[str, bytes] = {}
 
     def _all(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces_before.get(piece)
+        ids = self.known_before.get(piece)
         if ids is None:
             plain = piece.isascii() and piece.isprintable()  # these bytes are written as themselves
             made = self.tokenizer.model.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.letters))
             ids = array("H", [t.id for t in made]).tobytes()
         if len(piece) <= LONGEST:
-            self.pieces[piece] = ids
+            self.known[piece] = ids
         return ids
 
-    def _word(self, word: str) -> bytes:
-        low = word.lower()
-        known = self.pieces.get
-        if low.isalpha():
-            return known(low) or self._piece(low)
-        return b"".join([known(p) or self._piece(p) for p in self.split(low)])
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not in memory, which remembers them; the long ones are given back."""
-        once: dict[str, bytes] = {}
-        hard = []
-        for w in words:
-            ids = self.known_before.get(w)
-            if ids is None and self.plain and (w.isascii() or max(w) < PLAIN and "İ" not in w):
-                ids = self._word(w)
-            if ids is None:
-                hard.append(w)
-            else:
-                (self.known if len(w) <= LONGEST else once)[w] = ids
-        for w, ids in zip(hard, self._all(hard), strict=True):
-            (self.known if len(w) <= LONGEST else once)[w] = ids
-        return once
-
     def encode(self, text: str) -> bytes:
         """Little-endian 16-bit ids."""
-        if _ODD.search(text):  # these separate words for Python but not for the tokenizer
+        if _ODD.search(text) or any(x in text for x in self.added):  # the first separate words for Python only, the others are ids wherever they stand
             return self._all([text])[0]
-        words = text.split()
         if len(self.known) > REMEMBERED:
             self.known, self.known_before = {}, self.known
-        if len(self.pieces) > REMEMBERED:
-            self.pieces, self.pieces_before = {}, self.pieces
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            once = self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            return b"".join([self.known[w] if w in self.known else once[w] for w in words])
+        known = self.known.get
+        if self.plain and not _FAR.search(text):
+            words = text.lower().split()
+            ids = list(map(known, words))
+            if None in ids:
+                ids = [(known(w) or self._lowered(w)) if x is None else x for w, x in zip(words, ids)]
+            return b"".join(ids)
+        words = text.split()
+        hard = [w for w in dict.fromkeys(words) if len(w) > LONGEST or known(w) is None]
+        once = dict(zip(hard, self._all(hard), strict=True))
+        self.known.update((w, x) for w, x in once.items() if len(w) <= LONGEST)
+        return b"".join([once[w] if w in once else known(w) for w in words])
+
+    def _lowered(self, low: str) -> bytes:
+        """Ids of a lowered word of plain characters."""
+        if low.isalpha():
+            return self._piece(low)
+        if low[-1] in ".," and (word := low[:-1]).isalpha():  # a piece and a mark: not worth remembering together
+            return (self.known.get(word) or self._piece(word)) + (self.known.get(low[-1]) or self._piece(low[-1]))
+        ids = self.known_before.get(low)
+        if ids is None:
+            ids = b"".join([self.known.get(p) or self._piece(p) for p in self.split(low)])
+        if len(low) <= LONGEST:
+            self.known[low] = ids
+        return ids

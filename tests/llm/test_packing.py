@@ -25,6 +25,11 @@ def test_words(t):
     assert np.frombuffer(OWN.encode(t), "<u2").tolist() == ids(t)
 
 
+def test_marks_and_added_tokens():
+    for t in ["a <|endoftext|> b", "<|startoftext|>x", "end. End, e.g. 3. '. ... ., a.b, (x). ß, Ÿ.", "l'été, ñandú.\xa0İ. ɐ.", "ŉ. ª, ². _. x_."]:
+        assert np.frombuffer(OWN.encode(t), "<u2").tolist() == ids(t), t
+
+
 def test_small_memory(monkeypatch):
     from procurelake.llm import wordbpe
 
