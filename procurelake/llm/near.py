@@ -10,7 +10,7 @@
    ties in an order of the tree's own. Candidates whose one-bit signatures differ too much for the
    threshold are left out.
 3. Links are confirmed on the full sets. First each class with the likest candidate of smaller
-   hash; then every other candidate that would join two components.
+   hash; then, of each two components, the likest pair; then every other candidate of two components.
 4. Components: labels spread over links with pointer jumping, checkpointed each round.
 5. Crowds: classes chained by regions of over REGION. Where a crowd has several components, those of
    its classes that share enough shingles with others of the crowd are dealt out in chunks of about
@@ -34,7 +34,7 @@ from procurelake.llm import text
 from procurelake.llm.spark import once, prepared, stored
 
 WIDTH, COMPONENTS = 5, 128
-TREES, DEPTH, LEAST, REGION, FEW = 16, 6, 3, 64, 4
+TREES, DEPTH, LEAST, REGION, FEW = 16, 6, 3, 48, 4
 #: Classes of a crowd that are compared with each other, or with as many others, in one group.
 CHUNK = 1024
 _U = np.uint64
@@ -208,6 +208,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("new").alias("label"))
 
 
+def _across(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) of two components, with these as la < lb. A node that is not known is a component."""
+    end = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    out = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+    return out.where("la != lb").withColumns({"la": F.least("la", "lb"), "lb": F.greatest("la", "lb")})
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """`known` (node, label) with the components joined that any of the links (a, b) joins; each pair of components counts once."""
+    joins = once(_across(links, known).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    if not joins.limit(1).count():
+        return known
+    joined = components(joins).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    single = joins.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    all_ = known.union(single.join(known, "node", "left_anti").select("node", "label"))
+    return once(all_.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
 def common(own: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two of some sets have in common."""
     n, size = len(own), np.array([len(x) for x in own])
@@ -288,12 +306,7 @@ def crowded(met: DataFrame, own: DataFrame, known: DataFrame, percent: int) -> D
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     links = once(rows.join(pairs, ["crowd", "chunk"]).select("pair", "node", "label", "own").groupBy("pair").applyInArrow(compared, "a long, b long").distinct())
-    if not links.limit(1).count():
-        return known
-    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
-    single = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-    all_ = known.union(single.join(known, "node", "left_anti").select("node", "label"))
-    return once(all_.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+    return _merged(known, links)
 
 
 def linked(df: DataFrame, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -307,13 +320,13 @@ def linked(df: DataFrame, percent: int = 80, key: str = "doc_id", column: str =
     own = stored(full_sets(df, chosen, key, column))
     alike = met.where(F.col("unlike") <= _most_unlike(percent))
     best = alike.groupBy("b").agg(F.min(F.struct("unlike", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
-    first = once(confirmed(best, own, percent))
-    labels = components(first)
-    end = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    rest = alike.join(best, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
-    rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    links = first.union(confirmed(rest, own, percent))
-    final = components(links)
+    final = components(once(confirmed(best, own, percent)))
+    # of two components the likest pair first, then the other pairs of those that it doesn't join
+    far = once(_across(alike.join(best, ["a", "b"], "left_anti"), final).select("a", "b", "unlike", "la", "lb"))
+    likest = far.groupBy("la", "lb").agg(F.min(F.struct("unlike", "a", "b")).alias("p")).select("la", "lb", "p.a", "p.b")
+    sure = once(confirmed(likest, own, percent))
+    others = far.join(likest.join(sure, ["a", "b"]).select("la", "lb"), ["la", "lb"], "left_anti").join(likest, ["a", "b"], "left_anti")
+    final = _merged(final, sure.union(confirmed(others, own, percent)))
     if met.where("crowd").limit(1).count():
         final = crowded(met, own, final, percent)
     classes = classes.select("node", "check", "least").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
