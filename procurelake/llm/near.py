@@ -9,9 +9,12 @@
    prefix of 3, 4, 5 or 6, all of them are neighbours; beyond, the next FEW in the order are, with
    ties in an order of the tree's own. Candidates whose one-bit signatures differ too much for the
    threshold are left out.
-3. Links are confirmed on the full sets. First each class with the likest candidate of smaller
-   hash; then, of each two components, the likest pair; then every other candidate of two components.
-4. Components: labels spread over links with pointer jumping, checkpointed each round.
+3. Links are confirmed on the full sets. First each class with its likest candidate of smaller
+   hash, then the likest pairs of two components among each tree's such candidates. The forest is
+   then planted again with the components that this makes, and only pairs of two components are sent:
+   of each two the likest pair is confirmed first, then every other one if it doesn't join them.
+4. Components: labels spread over links with pointer jumping. Each round is written as a table, so
+   that small labels are joined by their known size without a shuffle.
 5. Crowds: classes chained by regions of over REGION. Where a crowd has several components, those of
    its classes that share enough shingles with others of the crowd are dealt out in chunks of about
    CHUNK, and each pair of chunks that has two components is compared whole, on full sets.
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procurelake.llm import text
-from procurelake.llm.spark import once, prepared, stored
+from procurelake.llm.spark import prepared, stored
 
 WIDTH, COMPONENTS = 5, 128
 TREES, DEPTH, LEAST, REGION, FEW = 16, 6, 3, 48, 4
@@ -105,12 +108,9 @@ def _most_unlike(percent: int) -> int:
     return int(COMPONENTS * (1 - p) + 5 * (COMPONENTS * p * (1 - p)) ** 0.5)
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, unlike, crowd) with a < b: neighbours in any of the forest's orders.
-
-    crowd: the next in a region of over REGION; such pairs are there however unlike they are."""
+def _ordered(classes: DataFrame) -> DataFrame:
+    """(tree, path, tie, bits, and label where classes have it): all classes in each tree's order."""
     spark = prepared(classes.sparkSession)
-    most = _most_unlike(percent)
 
     def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,49 +118,95 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             bits = [x.tobytes() for x in np.packbits((sig & 1).astype(np.uint8), axis=1)]
             for t in range(TREES):
                 own = [x.tobytes() for x in np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own, pa.binary()), pa.array((np.asarray(b.column(0)).view(np.uint64) * _ODD[t]).view(np.int64)), pa.array(bits, pa.binary())], names=["tree", "path", "tie", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own, pa.binary()), pa.array((np.asarray(b.column(0)).view(np.uint64) * _ODD[t]).view(np.int64)), pa.array(bits, pa.binary()), *b.columns[2:]], names=["tree", "path", "tie", "bits", *b.schema.names[2:]])
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    label = [c for c in ("label",) if c in classes.columns]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = classes.select("node", "signature", *label).mapInArrow(planted, "tree int, path binary, tie long, bits binary" + ", label long" * len(label))
+    return rows.repartitionByRange(parts, "tree", "path", "tie").sortWithinPartitions("tree", "path", "tie")
+
+
+def _met(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, unlike, crowd) of neighbours in an ordered table: places, differing bits, whether next in a region of over REGION."""
+    tree = np.asarray(table["tree"])
+    path = np.frombuffer(b"".join(table["path"].to_pylist()), ">u2").reshape(-1, DEPTH).astype(np.uint16)
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(tree), -1)
+    n, place = len(tree), np.arange(len(tree))
+    reach = np.minimum(place + FEW, n - 1)
+    changed = tree[1:] != tree[:-1]
+    settled = np.zeros(n, bool)
+    for d in range(1, DEPTH + 1):
+        changed = changed | (path[1:, d - 1] != path[:-1, d - 1])
+        if d < LEAST:
+            continue
+        region = np.concatenate([[0], np.cumsum(changed)])
+        size = np.bincount(region)
+        last = np.cumsum(size)[region] - 1
+        if d == LEAST:
+            reach = np.minimum(reach, last)
+        fits = ~settled & (size[region] <= REGION)
+        reach[fits] = np.maximum(reach[fits], last[fits])
+        settled |= fits
+    for o in range(1, REGION):
+        i = place[: n - o][reach[: n - o] >= o + place[: n - o]]
+        if not len(i):
+            break
+        yield i, i + o, np.bitwise_count(bits[i] ^ bits[i + o]).sum(1).astype(np.int32), ~settled[i] & (region[i] == region[i + o]) & (o == 1)
+
+
+def _nodes(table: pa.Table) -> np.ndarray:
+    return (np.asarray(table["tie"]).view(np.uint64) * _BACK[np.asarray(table["tree"])]).view(np.int64)
+
+
+def nearest(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, unlike): all classes b with neighbours, and each tree's likest a of smaller hash (null: none).
+
+    One row a class and tree at most, however large the regions are."""
+    most = _most_unlike(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b for b in batches if b.num_rows]
         if not own:
             return
         table = pa.Table.from_batches(own)
-        tree = np.asarray(table["tree"])
-        path = np.frombuffer(b"".join(table["path"].to_pylist()), ">u2").reshape(-1, DEPTH).astype(np.uint16)
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(tree), -1)
-        node = (np.asarray(table["tie"]).view(np.uint64) * _BACK[tree]).view(np.int64)
-        n, place = len(tree), np.arange(len(tree))
-        reach = np.minimum(place + FEW, n - 1)
-        changed = tree[1:] != tree[:-1]
-        settled = np.zeros(n, bool)
-        for d in range(1, DEPTH + 1):
-            changed = changed | (path[1:, d - 1] != path[:-1, d - 1])
-            if d < LEAST:
-                continue
-            region = np.concatenate([[0], np.cumsum(changed)])
-            size = np.bincount(region)
-            last = np.cumsum(size)[region] - 1
-            if d == LEAST:
-                reach = np.minimum(reach, last)
-            fits = ~settled & (size[region] <= REGION)
-            reach[fits] = np.maximum(reach[fits], last[fits])
-            settled |= fits
-        for o in range(1, REGION):
-            i = place[: n - o][reach[: n - o] >= o + place[: n - o]]
-            if not len(i):
-                break
-            unlike = np.bitwise_count(bits[i] ^ bits[i + o]).sum(1)
-            crowd = ~settled[i] & (region[i] == region[i + o]) & (o == 1)
-            ok = crowd | (unlike <= most)
-            i, unlike, crowd = i[ok], unlike[ok], crowd[ok]
+        node = _nodes(table)
+        met, least, like = np.zeros(len(node), bool), np.full(len(node), most + 1, np.int32), np.zeros(len(node), np.int64)
+        for i, j, unlike, crowd in _met(table):
+            ok = unlike <= most
+            met[i[ok | crowd]] = met[j[ok | crowd]] = True
+            i, j, unlike = i[ok], j[ok], unlike[ok]
+            for a, b in ((i, j), (j, i)):
+                better = (node[a] < node[b]) & ((unlike < least[b]) | ((unlike == least[b]) & (node[a] < like[b])))
+                least[b[better]], like[b[better]] = unlike[better], node[a[better]]
+        if met.any():
+            none = least[met] > most
+            yield pa.RecordBatch.from_arrays([pa.array(node[met]), pa.array(least[met], mask=none), pa.array(like[met], mask=none)], names=["b", "unlike", "a"])
+
+    rows = _ordered(classes).mapInArrow(run, "b long, unlike int, a long")
+    return rows.groupBy("a", "b").agg(F.min("unlike").alias("unlike"))
+
+
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, la, lb, unlike, crowd) with a < b and their labels: neighbours of two labels in any of the forest's orders.
+
+    crowd: the next in a region of over REGION; such pairs are there however unlike they are, and of one label too."""
+    most = _most_unlike(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        if not own:
+            return
+        table = pa.Table.from_batches(own)
+        node, label = _nodes(table), np.asarray(table["label"])
+        for i, j, unlike, crowd in _met(table):
+            ok = crowd | ((unlike <= most) & (label[i] != label[j]))
+            i, j, unlike, crowd = i[ok], j[ok], unlike[ok], crowd[ok]
             if len(i):
-                a, b = np.minimum(node[i], node[i + o]), np.maximum(node[i], node[i + o])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(unlike, pa.int32()), pa.array(crowd)], names=["a", "b", "unlike", "crowd"])
+                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(label[i]), pa.array(label[j]), pa.array(unlike), pa.array(crowd)], names=["a", "b", "la", "lb", "unlike", "crowd"])
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = classes.select("node", "signature").mapInArrow(planted, "tree int, path binary, tie long, bits binary")
-    order = rows.repartitionByRange(parts, "tree", "path", "tie").sortWithinPartitions("tree", "path", "tie")
-    return order.mapInArrow(neighbours, "a long, b long, unlike int, crowd boolean").groupBy("a", "b").agg(F.min("unlike").alias("unlike"), F.max("crowd").alias("crowd"))
+    rows = _ordered(classes).mapInArrow(run, "a long, b long, la long, lb long, unlike int, crowd boolean")
+    return rows.groupBy("a", "b", "la", "lb").agg(F.min("unlike").alias("unlike"), F.max("crowd").alias("crowd"))
 
 
 def full_sets(df: DataFrame, chosen: DataFrame, key: str, column: str) -> DataFrame:
@@ -196,18 +242,29 @@ def confirmed(edges: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): for each end of a link the smallest node that it reaches."""
-    both = once(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct())
-    labels = once(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct())
+    labels = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "other"}), "other").groupBy("node").agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("m"))
         jump = labels.select(F.col("node").alias("m"), F.col("label").alias("j"))
-        new = once(step.join(jump, "m", "left").select("node", F.coalesce("j", "m").alias("new"), "label"))
+        new = stored(step.join(jump, "m", "left").select("node", F.coalesce("j", "m").alias("new"), "label"))
         if not new.where("new != label").limit(1).count():
             return labels
         labels = new.select("node", F.col("new").alias("label"))
 
 
+def rooted(links: DataFrame) -> DataFrame:
+    """(node, label) for links (a, b) with a < b and each b once: the end of b's path over such links. A node without a b is its own."""
+    labels = stored(links.select(F.col("b").alias("node"), F.col("a").alias("label")))
+    while True:
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = stored(labels.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")))
+        labels = new.select("node", "label")
+        if not new.where("moved").limit(1).count():
+            return labels
+
+
 def _across(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) of two components, with these as la < lb. A node that is not known is a component."""
     end = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
@@ -215,15 +272,20 @@ def _across(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return out.where("la != lb").withColumns({"la": F.least("la", "lb"), "lb": F.greatest("la", "lb")})
 
 
+def _likest(pairs: DataFrame) -> DataFrame:
+    """(la, lb, a, b): of each two components the likest of `pairs`."""
+    return pairs.groupBy("la", "lb").agg(F.min(F.struct("unlike", "a", "b")).alias("p")).select("la", "lb", "p.a", "p.b")
+
+
 def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
     """`known` (node, label) with the components joined that any of the links (a, b) joins; each pair of components counts once."""
-    joins = once(_across(links, known).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    joins = stored(_across(links, known).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     if not joins.limit(1).count():
         return known
     joined = components(joins).select(F.col("node").alias("label"), F.col("label").alias("new"))
     single = joins.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     all_ = known.union(single.join(known, "node", "left_anti").select("node", "label"))
-    return once(all_.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+    return stored(all_.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
 def common(own: list[np.ndarray]) -> np.ndarray:
@@ -254,7 +316,7 @@ def crowded(met: DataFrame, own: DataFrame, known: DataFrame, percent: int) -> D
     """`known` (node, label) with the components of each crowd joined that have a link."""
     end = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     chain = met.where("crowd").select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    across = once(chain.where("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    across = stored(chain.where("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
     if not across.limit(1).count():
         return known
     crowds = components(across).select(F.col("node").alias("label"), F.col("label").alias("crowd"))
@@ -272,14 +334,14 @@ def crowded(met: DataFrame, own: DataFrame, known: DataFrame, percent: int) -> D
     alone = hot.select("crowd", "node", "own").mapInArrow(shingles, "crowd long, node long, w long").groupBy("crowd", "w").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
     alone = alone.groupBy("crowd", "node").agg(F.count("*").alias("alone"))
     size = F.length("own") / 8
-    hot = once(hot.join(alone, ["crowd", "node"], "left").where(100 * (size - F.coalesce("alone", F.lit(0))) >= percent * size).select("crowd", "node", "label", "own"))
+    hot = stored(hot.join(alone, ["crowd", "node"], "left").where(100 * (size - F.coalesce("alone", F.lit(0))) >= percent * size).select("crowd", "node", "label", "own"))
     # chunks: of one large component, or of many small ones whole
     sizes = hot.groupBy("crowd", "label").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > CHUNK)
     small = sizes.where("NOT large").groupBy("crowd").agg(F.sum("n").alias("all"))
     sizes = sizes.join(small, "crowd", "left")
     dealt = F.ceil(F.when(F.col("large"), F.col("n")).otherwise(F.col("all")) / CHUNK)
     part = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("label"))), dealt)
-    rows = once(hot.join(sizes.select("crowd", "label", "large", "n", "all"), ["crowd", "label"]).select("crowd", "node", "label", "own", F.when(F.col("large"), F.col("label")).alias("one"), F.struct(F.when(F.col("large"), F.col("label")).alias("one"), part.alias("part")).alias("chunk")))
+    rows = stored(hot.join(sizes.select("crowd", "label", "large", "n", "all"), ["crowd", "label"]).select("crowd", "node", "label", "own", F.when(F.col("large"), F.col("label")).alias("one"), F.struct(F.when(F.col("large"), F.col("label")).alias("one"), part.alias("part")).alias("chunk")))
     chunks = rows.groupBy("crowd", "chunk").agg(F.first("one").alias("one"))
     left, right = chunks.select("crowd", F.col("chunk").alias("p"), F.col("one").alias("po")), chunks.select("crowd", F.col("chunk").alias("q"), F.col("one").alias("qo"))
     pairs = left.join(right, "crowd").where("p <= q AND NOT coalesce(po = qo, false)").withColumn("chunk", F.explode(F.array_distinct(F.array("p", "q")))).select("crowd", "chunk", F.xxhash64("crowd", "p", "q").alias("pair"))
@@ -305,7 +367,7 @@ def crowded(met: DataFrame, own: DataFrame, known: DataFrame, percent: int) -> D
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    links = once(rows.join(pairs, ["crowd", "chunk"]).select("pair", "node", "label", "own").groupBy("pair").applyInArrow(compared, "a long, b long").distinct())
+    links = stored(rows.join(pairs, ["crowd", "chunk"]).select("pair", "node", "label", "own").groupBy("pair").applyInArrow(compared, "a long, b long").distinct())
     return _merged(known, links)
 
 
@@ -315,16 +377,18 @@ def linked(df: DataFrame, percent: int = 80, key: str = "doc_id", column: str =
     docs = stored(signed(df, key, column))
     some = docs.where("node IS NOT NULL")
     classes = stored(some.groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("rep"), F.min("signature").alias("signature")))
-    met = once(candidates(classes, percent))
-    chosen = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "rep.doc_id", "rep.th")
+    # each class with its likest candidate, then what is left between the components that this makes
+    near = stored(nearest(classes, percent))
+    chosen = near.select(F.col("b").alias("node")).distinct().join(classes, "node").select("node", "rep.doc_id", "rep.th")
     own = stored(full_sets(df, chosen, key, column))
-    alike = met.where(F.col("unlike") <= _most_unlike(percent))
-    best = alike.groupBy("b").agg(F.min(F.struct("unlike", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
-    final = components(once(confirmed(best, own, percent)))
-    # of two components the likest pair first, then the other pairs of those that it doesn't join
-    far = once(_across(alike.join(best, ["a", "b"], "left_anti"), final).select("a", "b", "unlike", "la", "lb"))
-    likest = far.groupBy("la", "lb").agg(F.min(F.struct("unlike", "a", "b")).alias("p")).select("la", "lb", "p.a", "p.b")
-    sure = once(confirmed(likest, own, percent))
+    near = near.where("a IS NOT NULL")
+    best = near.groupBy("b").agg(F.min(F.struct("unlike", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
+    final = rooted(confirmed(best, own, percent))
+    final = _merged(final, confirmed(_likest(_across(near.join(best, ["a", "b"], "left_anti"), final)), own, percent))
+    met = stored(candidates(classes.join(final, "node", "left").select("node", "signature", F.coalesce("label", "node").alias("label")), percent))
+    far = met.where((F.col("la") != F.col("lb")) & (F.col("unlike") <= _most_unlike(percent))).withColumns({"la": F.least("la", "lb"), "lb": F.greatest("la", "lb")})
+    likest = _likest(far)
+    sure = stored(confirmed(likest, own, percent))
     others = far.join(likest.join(sure, ["a", "b"]).select("la", "lb"), ["la", "lb"], "left_anti").join(likest, ["a", "b"], "left_anti")
     final = _merged(final, sure.union(confirmed(others, own, percent)))
     if met.where("crowd").limit(1).count():
