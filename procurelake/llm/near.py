@@ -40,6 +40,8 @@ WIDTH, COMPONENTS = 5, 128
 TREES, DEPTH, LEAST, REGION, FEW = 16, 6, 3, 48, 4
 #: Classes of a crowd that are compared with each other, or with as many others, in one group.
 CHUNK = 1024
+#: Bytes of shingles that a task counts before it sends the counts.
+HELD = 1 << 24
 _U = np.uint64
 _ODD = text.mix(np.arange(1, COMPONENTS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 #: Undoes the product with _ODD, by which each tree orders ties.
@@ -323,15 +325,29 @@ def crowded(met: DataFrame, own: DataFrame, known: DataFrame, percent: int) -> D
     nodes = chain.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")), F.struct(F.col("b").alias("node"), F.col("lb").alias("label")))).alias("x")).select("x.*").distinct()
     hot = stored(nodes.join(crowds, "label").join(own, "node").select("node", "crowd", "label", "own"))
 
+    def counted(crowd: list, node: list, own: list) -> pa.RecordBatch:
+        size = np.array([len(x) // 8 for x in own])
+        crowd, node, w = np.repeat(np.array(crowd), size), np.repeat(np.array(node), size), np.frombuffer(b"".join(own), np.int64)
+        order = np.lexsort((node, w, crowd))
+        crowd, node, w = crowd[order], node[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (crowd[1:] != crowd[:-1]) | (w[1:] != w[:-1])]))
+        return pa.RecordBatch.from_arrays([pa.array(crowd[first]), pa.array(node[first]), pa.array(w[first]), pa.array(np.diff(np.append(first, len(w))))], names=["crowd", "node", "w", "n"])
+
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [[], [], []], 0
         for b in batches:
-            for part in (b.slice(k, 64) for k in range(0, b.num_rows, 64)):
-                raw = part.column(2).to_pylist()
-                size = np.array([len(x) // 8 for x in raw])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(0)), size)), pa.array(np.repeat(np.asarray(part.column(1)), size)), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["crowd", "node", "w"])
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k, x in enumerate(row):
+                    rows[k].append(x)
+                held += len(row[2])
+                if held >= HELD:
+                    yield counted(*rows)
+                    rows, held = [[], [], []], 0
+        if held:
+            yield counted(*rows)
 
     # a link's common shingles are at least `percent` of either set, and none of them is of one class only
-    alone = hot.select("crowd", "node", "own").mapInArrow(shingles, "crowd long, node long, w long").groupBy("crowd", "w").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    alone = hot.select("crowd", "node", "own").mapInArrow(shingles, "crowd long, node long, w long, n long").groupBy("crowd", "w").agg(F.min("node").alias("node"), F.sum("n").alias("n")).where("n = 1")
     alone = alone.groupBy("crowd", "node").agg(F.count("*").alias("alone"))
     size = F.length("own") / 8
     hot = stored(hot.join(alone, ["crowd", "node"], "left").where(100 * (size - F.coalesce("alone", F.lit(0))) >= percent * size).select("crowd", "node", "label", "own"))
