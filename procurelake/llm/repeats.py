@@ -46,6 +46,8 @@ MANY = 48
 BATCH = 3 << 18
 #: Bytes of text whose contexts are found at once.
 BLOCK = 1 << 19
+#: Contexts that are held before they are dealt out: pieces are as many as destinations for so many contexts, not for each block.
+DEAL = 1 << 20
 _U = np.uint64
 _PLACE = 27  # bits of a place in a block
 
@@ -67,17 +69,25 @@ class Packed:
 
     def __init__(self, **widths: int):
         self.widths = widths
+        self.width = sum(widths.values())
 
-    def dump(self, **columns: np.ndarray) -> bytes:
-        return b"".join(np.ascontiguousarray(columns[c].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for c, w in self.widths.items())
+    def dump(self, edge: np.ndarray, **columns: np.ndarray) -> list[bytes]:
+        """The rows between each two edges. Planes are made once for all: there are more pieces the more partitions and rows there are."""
+        planes = np.empty((self.width, len(next(iter(columns.values())))), np.uint8)
+        at = 0
+        for c, w in self.widths.items():
+            planes[at : at + w] = np.ascontiguousarray(columns[c], "<u8").view(np.uint8).reshape(-1, 8)[:, :w].T
+            at += w
+        return [planes[:, a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
-    def load(self, raw: bytes) -> dict[str, np.ndarray]:
-        n, at, out = len(raw) // sum(self.widths.values()), 0, {}
+    def load(self, pieces: list[bytes]) -> dict[str, np.ndarray]:
+        planes = np.concatenate([np.frombuffer(x, np.uint8).reshape(self.width, len(x) // self.width) for x in pieces] or [np.zeros((self.width, 0), np.uint8)], axis=1)
+        at, out = 0, {}
         for c, w in self.widths.items():
-            x = np.zeros((n, 8), np.uint8)
-            x[:, :w] = np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T
+            x = np.zeros((planes.shape[1], 8), np.uint8)
+            x[:, :w] = planes[at : at + w].T
             out[c] = x.view("<u8").ravel()
-            at += n * w
+            at += w
         return out
 
 
@@ -118,28 +128,72 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"anchor": text.mix(h[place]) >> _U(16), "whole": out[0], "left": out[1] & _U(0xFFFF), "right": out[2] & _U(0xFFFF), "doc": doc[first], "at": first, "windows": last - first + 1}
 
 
-def _dealt(to: np.ndarray, names: list[int], pack: Packed, columns: dict, extra: bytes | None = None) -> Iterator[tuple[int, bytes]]:
-    """Rows by destination: (its number, packed columns)."""
-    order = np.argsort(to, kind="stable")
-    edge = np.searchsorted(to[order], np.arange(len(names) + 1))
-    for i in np.flatnonzero(np.diff(edge)):
-        own = order[edge[i] : edge[i + 1]]
-        yield i, pack.dump(**{c: v[own] for c, v in columns.items()})
+def _sorted(to: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by destination, destinations that have rows, where each one's rows begin and the last one's end)."""
+    order = np.argsort(to.astype(np.uint16) if parts <= 1 << 16 else to, kind="stable")
+    edge = np.searchsorted(to[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(edge))
+    return order, some, np.append(edge[some], len(to))
+
+
+def _dealt(kind: int, home: np.ndarray, names: list[int], columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Ranges as one batch, with a row for each home."""
+    order, some, edge = _sorted(home, len(names))
+    blobs = RANGES.dump(edge, **{c: v[order] for c, v in columns.items()})
+    return pa.RecordBatch.from_arrays([pa.array(np.array(names)[some], pa.int32()), pa.array(np.full(len(some), kind), pa.int32()), pa.array(blobs, pa.binary())], names=["home", "kind", "ranges"])
+
+
+def _spread(held: list[dict[str, np.ndarray]], docs: list[dict[str, np.ndarray]], names: list[int]) -> pa.RecordBatch:
+    """Contexts of some blocks as one batch, with a row for each bucket: its documents and its contexts."""
+    c, d = ({k: np.concatenate([x[k] for x in all_]) for k in all_[0]} for all_ in (held, docs))
+    to = (c["anchor"] % _U(len(names))).astype(np.int64)
+    order, some, edge = _sorted(to, len(names))
+    c = {k: v[order] for k, v in c.items()}
+    new = _runs(to[order], c["doc"])
+    number = np.cumsum(new) - 1
+    first = np.append(number, new.sum())[edge]
+    own = c["doc"][new]
+    c["doc"] = number - np.repeat(first[:-1], np.diff(edge))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.array(names)[some], pa.int32()), pa.array(DOCS.dump(first, **{k: v[own] for k, v in d.items()}), pa.binary()), pa.array(ANCHORS.dump(edge, **c), pa.binary())],
+        names=["bucket", "docs", "anchors"],
+    )
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.RecordBatch]:
+    """The contexts of rows (doc_id, text, th, n), dealt out by anchor whenever there are DEAL of them."""
+    held, docs, size, rows = [], [], 0, 0
+    for batch in batches:
+        for b, data, offsets in text.blocks(batch, limit=BLOCK):
+            c = contexts(data, offsets)
+            if not len(c["doc"]):
+                continue
+            ok = ~np.asarray(b.column(0).is_null())[c["doc"]]
+            start = c.pop("at") - offsets[c["doc"]]
+            c = {k: v[ok] for k, v in (c | {"doc": c["doc"] + rows, "start": start}).items()}
+            small = {"left": np.uint16, "right": np.uint16, "doc": np.int32, "start": np.int32, "windows": np.uint8}
+            held.append({k: v.astype(small.get(k, v.dtype)) for k, v in c.items()})
+            docs.append({"id": np.asarray(b.column(0).fill_null(0)), "th": np.asarray(b.column(2)).view(np.uint32), "home": np.asarray(b.column(3))})
+            size, rows = size + len(c["doc"]), rows + b.num_rows
+            if size >= DEAL:
+                yield _spread(held, docs, names)
+                held, docs, size, rows = [], [], 0, 0
+    if size:
+        yield _spread(held, docs, names)
 
 
 def _records(it: Iterator[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """All (documents, anchors) of a partition's blobs; `doc` counts through the documents."""
-    docs, anchors, base = [], [], 0
+    tables, blobs = [], []
     for b in it:
-        for d, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            d, a = DOCS.load(d), ANCHORS.load(a)
-            a["doc"] = a["doc"] + _U(base)
-            base += len(d["id"])
-            docs.append(d)
-            anchors.append(a)
-    if not docs:
+        tables += b.column(1).to_pylist()
+        blobs += b.column(2).to_pylist()
+    if not tables:
         return {}, {}
-    return ({k: np.concatenate([d[k] for d in docs]) for k in docs[0]}, {k: np.concatenate([a[k] for a in anchors]) for k in anchors[0]})
+    docs, anchors = DOCS.load(tables), ANCHORS.load(blobs)
+    n = np.array([len(x) for x in tables]) // DOCS.width
+    anchors["doc"] += np.repeat(np.cumsum(n) - n, np.array([len(x) for x in blobs]) // ANCHORS.width).astype(np.uint64)
+    return docs, anchors
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -182,8 +236,7 @@ def _meet(it: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.RecordB
     for kind, at in ((0, np.flatnonzero(gone)), (1, reps[further])):
         d, src = doc[at], order[at]
         columns = {"id": docs["id"][d], "th": docs["th"][d], "start": a["start"][src], "bytes": a["windows"][src] + _U(LENGTH - 1), "anchor": anchor[at] if kind else np.zeros(len(at), np.uint64)}
-        for i, blob in _dealt(docs["home"][d].astype(np.int64), names, RANGES, columns):
-            yield pa.RecordBatch.from_arrays([pa.array([names[i]], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], names=["home", "kind", "ranges"])
+        yield _dealt(kind, docs["home"][d].astype(np.int64), names, columns)
 
 
 def _rows_of(docs: pa.Table, ranges: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +254,7 @@ def _rows_of(docs: pa.Table, ranges: dict[str, np.ndarray]) -> tuple[np.ndarray,
 
 
 def _loaded(table: pa.Table) -> dict[str, np.ndarray]:
-    all_ = [RANGES.load(x) for x in table["ranges"].to_pylist()]
-    return {k: np.concatenate([x[k] for x in all_]) if all_ else np.zeros(0, np.uint64) for k in RANGES.widths}
+    return RANGES.load(table["ranges"].to_pylist())
 
 
 def thinned(ctx: list[bytes], at: np.ndarray, ids: np.ndarray, anchors: np.ndarray, many: int = MANY) -> tuple[list[int], np.ndarray, np.ndarray, list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -337,8 +389,7 @@ def _resolve(it: Iterator[pa.RecordBatch], names: list[int], many: int) -> Itera
         found += [(i, a, b) for a, b in spans[i]]
     r, a, b = (np.array(x) for x in zip(*found, strict=True))
     columns = {"id": ids[r].view(np.uint64), "th": np.asarray(t["th"])[r].view(np.uint32).astype(np.uint64), "start": (start[r] + a).astype(np.uint64), "bytes": (b - a).astype(np.uint64), "anchor": np.zeros(len(r), np.uint64)}
-    for i, blob in _dealt(np.asarray(t["home"])[r].astype(np.int64), names, RANGES, columns):
-        yield pa.RecordBatch.from_arrays([pa.array([names[i]], pa.int32()), pa.array([2], pa.int32()), pa.array([blob], pa.binary())], names=["home", "kind", "ranges"])
+    yield _dealt(2, np.asarray(t["home"])[r].astype(np.int64), names, columns)
 
 
 def removed(df: DataFrame, key: str = "doc_id", column: str = "text", carry: list[str] | None = None, many: int = MANY) -> DataFrame:
@@ -356,27 +407,7 @@ def removed(df: DataFrame, key: str = "doc_id", column: str = "text", carry: lis
     all_rows = df.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), th.alias("th"), numbered.alias("n"), *carried)
     rows = all_rows.select("doc_id", "text", "th", "n")
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, data, offsets in text.blocks(batch, limit=BLOCK):
-                c = contexts(data, offsets)
-                known = ~np.asarray(b.column(0).is_null())
-                ok = known[c["doc"]] if len(c["doc"]) else np.zeros(0, bool)
-                c = {k: v[ok] for k, v in c.items()}
-                ids, ths, home = np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(2)).view(np.uint32), np.asarray(b.column(3))
-                to = (c["anchor"] % _U(parts)).astype(np.int64) if len(c["anchor"]) else np.zeros(0, np.int64)
-                order = np.argsort(to, kind="stable")
-                edge = np.searchsorted(to[order], np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(edge))
-                tables, blobs = [], []
-                for i in some:
-                    o = order[edge[i] : edge[i + 1]]
-                    own, doc = np.unique(c["doc"][o], return_inverse=True)
-                    tables.append(DOCS.dump(id=ids[own], th=ths[own], home=home[own]))
-                    blobs.append(ANCHORS.dump(anchor=c["anchor"][o], whole=c["whole"][o], left=c["left"][o], right=c["right"][o], doc=doc, start=c["at"][o] - offsets[c["doc"][o]], windows=c["windows"][o]))
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.int32()), pa.array(tables, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "docs", "anchors"])
-
-    met = rows.mapInArrow(anchors, "bucket int, docs binary, anchors binary").repartition(parts, "bucket")
+    met = rows.mapInArrow(lambda it: _anchors(it, names), "bucket int, docs binary, anchors binary").repartition(parts, "bucket")
     met = stored(met.mapInArrow(lambda it: _meet(it, names), "home int, kind int, ranges binary"))
 
     # the number of a row's partition becomes the label that is dealt to that partition

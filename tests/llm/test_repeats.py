@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from procurelake.llm import queries, repeats
@@ -105,3 +106,24 @@ def test_part_of_a_passage_that_a_later_document_has_twice(spark, many):
             a = r.randrange(0, 80)
             rows += [(d + 1, noise(200) + q[a : a + r.randrange(70, 120)] + noise(200)), (d + 5, noise(200) + q + noise(150) + q + noise(200))]
         assert got(spark, rows, many) == brute(rows)
+
+
+def test_pieces_do_not_grow_with_blocks_times_partitions():
+    """Many blocks of text and many partitions: a piece for each bucket, a batch for each kind of ranges."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(repeats.BLOCK // 2)) for _ in range(6)]
+    names = list(range(300))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(12), pa.int64()), "text": texts * 2, "th": pa.array(range(12), pa.int32()), "n": pa.array(range(0, 300, 25), pa.int32())})
+    dealt = list(repeats._anchors(iter([batch]), names))
+    assert sum(b.num_rows for b in dealt) <= len(names)
+    want = []
+    for i, t in enumerate(texts * 2):
+        c = repeats.contexts(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        want += zip([i] * len(c["at"]), c["at"].tolist(), c["windows"].tolist(), c["anchor"].tolist(), c["whole"].tolist(), strict=True)
+    docs, a = repeats._records(iter(dealt))
+    ids = docs["id"][a["doc"].astype(np.int64)]
+    assert sorted(zip(ids.tolist(), a["start"].tolist(), a["windows"].tolist(), a["anchor"].tolist(), a["whole"].tolist(), strict=True)) == sorted(want)
+    met = list(repeats._meet(iter(dealt), names))
+    assert len(met) <= 2
+    gone = repeats.RANGES.load([x for b in met for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if k == 0])
+    assert sorted(zip(gone["id"].tolist(), gone["start"].tolist(), strict=True)) == sorted((x[0], x[1]) for x in want if x[0] >= 6)
