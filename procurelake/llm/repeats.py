@@ -15,7 +15,8 @@
    it that agree in LENGTH bytes tell which windows also start in a document with a smaller id. An
    anchor with more than MANY contexts is thinned first: contexts are cut to what any other shares,
    and of those that are then equal the one with the least id stands for all; what is found for it
-   holds for its twins of the same id too.
+   holds for its twins of the same id too. What is still more than MANY is divided by the bytes beside
+   the anchor, so that no string is long: strings are built together, in as many turns as the longest has bytes.
 4. Ranges come together with the texts once more, and the covered bytes are removed.
 
 Null texts are empty; a null id is smaller than none and no id is smaller than it: such rows stay
@@ -304,6 +305,43 @@ def _common(a: bytes, b: bytes) -> int:
     return int((x != y).argmax())
 
 
+def divided(rows: list[int], ctx: list[bytes], ids: list[int], place: list[int], many: int = MANY) -> tuple[list[list[int]], list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """An anchor's contexts in groups of at most `many`: (groups, removed (context, start, end), (context, one whose ranges it has too, their distance)).
+
+    Contexts that share a window share the same number of bytes left of the anchor in it. Such numbers are
+    halved until groups are small: a context goes on, cut to the windows of a half, with those that have the
+    bytes that are in all windows of the half. Parts of contexts are added to ctx, ids and place."""
+    groups, found, copies, todo = [], [], [], [(rows, 0, STEPS - 1)]
+
+    def part(i: int, a: int, b: int) -> int:
+        ctx.append(ctx[i][a:b])
+        ids.append(ids[i])
+        place.append(place[i] - a)
+        copies.append((i, len(ctx) - 1, a))
+        return len(ctx) - 1
+
+    while todo:
+        rows, least, most = todo.pop()
+        at = np.array([place[i] for i in rows])
+        left, low, high, gone, twins = thinned([ctx[i] for i in rows], np.zeros(len(rows), np.int64), np.array([ids[i] for i in rows]), at, many)
+        found += [(rows[i], a, b) for i, a, b in gone]
+        copies += [(rows[i], rows[j], int(at[i] - at[j])) for i, j in twins]
+        if len(left) <= many or least == most:
+            groups.append([part(rows[i], int(low[i]), int(high[i])) for i in left])
+            continue
+        middle = (least + most) // 2
+        for a, b in ((least, middle), (middle + 1, most)):
+            same: dict[bytes, list[int]] = {}
+            for i in left:
+                before, after = int(at[i] - low[i]), int(high[i] - at[i]) - K
+                if max(a, STEPS - 1 - after) <= min(b, before):
+                    same.setdefault(ctx[rows[i]][at[i] - a : at[i] + K + STEPS - 1 - b], []).append(i)
+            for own in same.values():
+                if len({ids[rows[i]] for i in own}) > 1:
+                    todo.append(([part(rows[i], int(max(low[i], at[i] - b)), int(min(high[i], at[i] + K + STEPS - 1 - a))) for i in own], a, b))
+    return groups, found, copies
+
+
 def shared_windows(group: np.ndarray, ids: np.ndarray, ctx: list[bytes]) -> list[tuple[int, int, int]]:
     """(context, first byte, end) of runs of windows that also start in a context of the same group with a smaller id."""
     out = []
@@ -360,33 +398,35 @@ def _resolve(it: Iterator[pa.RecordBatch], names: list[int], many: int) -> Itera
         return
     t = pa.Table.from_batches(own)
     ids, start, place = (np.asarray(t[c]) for c in ("doc_id", "start", "place"))
-    group = np.asarray(t["anchor"])
-    ctx = t["bytes"].to_pylist()
     # equal contexts were left to one id; rows of one id may still be equal
+    ctx, whose, where = t["bytes"].to_pylist(), ids.tolist(), place.tolist()
+    order = np.argsort(np.asarray(t["anchor"]), kind="stable")
+    edges = np.append(np.flatnonzero(_runs(np.asarray(t["anchor"])[order])), len(order))
+    groups: list[list[int]] = []
     found: list[tuple[int, int, int]] = []
-    twins: list[tuple[int, int]] = []
-    keep = np.ones(len(ctx), bool)
-    shift = np.zeros(len(ctx), np.int64)
-    values, counts = np.unique(group, return_counts=True)
-    for v in values[counts > many]:
-        rows = np.flatnonzero(group == v)
-        left, low, high, gone, same = thinned([ctx[i] for i in rows], start[rows], ids[rows], place[rows], many)
-        found += [(int(rows[i]), a, b) for i, a, b in gone]
-        twins += [(int(rows[i]), int(rows[j])) for i, j in same]
-        keep[rows] = False
-        for i in left:
-            keep[rows[i]], shift[rows[i]] = True, low[i]
-            ctx[rows[i]] = ctx[rows[i]][low[i] : high[i]]
-    some = np.flatnonzero(keep)
-    found += [(int(some[i]), int(a + shift[some[i]]), int(b + shift[some[i]])) for i, a, b in shared_windows(group[some], ids[some], [ctx[i] for i in some])]
+    copies: list[tuple[int, int, int]] = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        rows = order[a:b].tolist()
+        if len(rows) <= many:
+            groups.append(rows)
+            continue
+        some, gone, alike = divided(rows, ctx, whose, where, many)
+        groups += some
+        found += gone
+        copies += alike
+    some = [i for g in groups for i in g]
+    label = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    found += [(some[i], a, b) for i, a, b in shared_windows(label, np.array(whose)[some], [ctx[i] for i in some])]
+    spans: dict[int, set[tuple[int, int]]] = {}
+    for i, a, b in found if copies else []:
+        spans.setdefault(i, set()).add((a, b))
+    for i, j, shift in reversed(copies):
+        if j in spans:
+            spans.setdefault(i, set()).update((a + shift, b + shift) for a, b in spans[j])
+    if copies:
+        found = [(i, a, b) for i, own in spans.items() if i < t.num_rows for a, b in own]
     if not found:
         return
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for i, a, b in found if twins else []:
-        spans.setdefault(i, []).append((a, b))
-    for i, j in reversed(twins):
-        spans[i] = [(int(a + place[i] - place[j]), int(b + place[i] - place[j])) for a, b in spans.get(j, [])]
-        found += [(i, a, b) for a, b in spans[i]]
     r, a, b = (np.array(x) for x in zip(*found, strict=True))
     columns = {"id": ids[r].view(np.uint64), "th": np.asarray(t["th"])[r].view(np.uint32).astype(np.uint64), "start": (start[r] + a).astype(np.uint64), "bytes": (b - a).astype(np.uint64), "anchor": np.zeros(len(r), np.uint64)}
     yield _dealt(2, np.asarray(t["home"])[r].astype(np.int64), names, columns)

@@ -127,3 +127,33 @@ def test_pieces_do_not_grow_with_blocks_times_partitions():
     assert len(met) <= 2
     gone = repeats.RANGES.load([x for b in met for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if k == 0])
     assert sorted(zip(gone["id"].tolist(), gone["start"].tolist(), strict=True)) == sorted((x[0], x[1]) for x in want if x[0] >= 6)
+
+
+def test_hot_anchor_is_divided():
+    """Contexts of one anchor that all share windows with others: no string of the suffix arrays holds more than MANY of them."""
+    r = random.Random(2)
+    noise = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    lefts, rights, anchor = [noise(25) for _ in range(12)], [noise(25) for _ in range(12)], b"ANCHORANCHOR"
+    ctx, ids, place = [], [], []
+    for _ in range(600):
+        a, b = noise(r.randrange(0, 14)) + r.choice(lefts)[r.randrange(0, 8) :], r.choice(rights)[: r.randrange(17, 26)] + noise(r.randrange(0, 14))
+        a, b = a[-38:], b[:38]
+        if len(a) + len(b) >= 38:
+            ctx.append(a + anchor + b)
+            ids.append(r.randrange(0, 400))
+            place.append(len(a))
+    n = len(ctx)
+    least = {}
+    for c, d in zip(ctx, ids, strict=True):
+        for i in range(len(c) - 49):
+            least[c[i : i + 50]] = min(d, least.get(c[i : i + 50], d))
+    want = {(k, i) for k in range(n) for i in range(len(ctx[k]) - 49) if least[ctx[k][i : i + 50]] < ids[k]}
+    t = pa.table({"bucket": pa.array([0] * n, pa.int32()), "anchor": pa.array([7] * n), "doc_id": pa.array(ids), "th": pa.array(range(n), pa.int32()), "home": pa.array([0] * n, pa.int32()), "start": pa.array([0] * n, pa.int32()), "place": pa.array(place, pa.int32()), "bytes": ctx[:]})
+    blobs = [x for b in repeats._resolve(iter(t.to_batches()), [0], 16) for x in b.column(2).to_pylist()]
+    found = repeats.RANGES.load(blobs)
+    got_ = {(k, i) for k, a, m in zip(found["th"].tolist(), found["start"].tolist(), found["bytes"].tolist(), strict=True) for i in range(a, a + m - 49)}
+    assert len(want) > 1000
+    assert got_ == want
+    groups, _, _ = repeats.divided(list(range(n)), ctx, ids, place, 16)
+    assert groups
+    assert max(len(g) for g in groups) <= 16
