@@ -48,7 +48,7 @@ BATCH = 3 << 18
 #: Bytes of text whose contexts are found at once.
 BLOCK = 1 << 19
 #: Contexts that are held before they are dealt out: pieces are as many as destinations for so many contexts, not for each block.
-DEAL = 1 << 20
+DEAL = 1 << 18
 _U = np.uint64
 _PLACE = 27  # bits of a place in a block
 
